@@ -151,23 +151,25 @@ def mix_texts(docs: DataFrame, text: str = "text", source: str = "source", order
 
     A cut document's extra words are joined by one space.
     """
-    full = sized(docs, text, source, list(order), seed)
+    carried = docs.select(*order, F.col(text).alias("_text"), F.col(source).alias("source"), F.struct("*").alias("_doc"))
+    full = sized(carried, "_text", "source", list(order), seed)
     measured = written(full.select(*order, "source", "size", "h"), "mix-sized")
     sources, shards = plan(measured, seed=seed, **options)
     df = place(sharded(full, sources), shards)
     part = F.col("b1") - F.col("a1") + F.col("b2") - F.col("a2")
-    pieces = F.split(F.regexp_replace(F.col(text), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
+    pieces = F.split(F.regexp_replace("_text", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""), r"[\x20\x09-\x0D]+")
 
     def words(a: str, b: str) -> Column:
         return F.slice(pieces, F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int"))
 
-    cut = F.when(part == F.col("size"), F.col(text)).otherwise(F.concat_ws(" ", words("a1", "b1"), words("a2", "b2")))
+    cut = F.when(part == F.col("size"), F.col("_text")).otherwise(F.concat_ws(" ", words("a1", "b1"), words("a2", "b2")))
     whole = F.array_repeat(F.lit(False), F.col("repeats").cast("int"))
     df = df.withColumn("_cut", F.explode(F.concat(whole, F.when(part > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))))
-    df = df.withColumn(text, F.when(F.col("_cut"), cut).otherwise(F.col(text)))
+    df = df.withColumn("_text", F.when(F.col("_cut"), cut).otherwise(F.col("_text")))
+    new = {text: F.col("_text")}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return df.select(*docs.columns)
+        new["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return df.select(*(new.get(c, F.col("_doc")[c]).alias(c) for c in docs.columns))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
