@@ -3,7 +3,15 @@
 from __future__ import annotations
 
 from .mixing import op1_mixing
+from .tokencount import op2_token_counts
+from .tokenfile import op10_token_output
+from .vectors import op9_nearest
 
-QUERIES = {"op1_mixing": op1_mixing}
+QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op2_token_counts": op2_token_counts,
+    "op9_nearest": op9_nearest,
+    "op10_token_output": op10_token_output,
+}
 
 ORACLE_SQL: dict[str, str] = {}
