@@ -84,9 +84,6 @@ class ChunkCounter(dict):
 
     def learn(self, chunks: set[str]) -> None:
         """Count the chunks that aren't known."""
-        if len(self) > CACHE:
-            self.clear()
-            self.merged.clear()
         new = [c for c in chunks if c not in self]
         parts = {c: self.find(c.lower()) for c in new if self.plain(c)}
         rest = list({p for ps in parts.values() for p in ps if p not in self.whole and p not in self.merged})
@@ -97,6 +94,9 @@ class ChunkCounter(dict):
         self.update(zip(odd, self.by_library(odd), strict=True))
 
     def counts(self, texts: list[str]) -> list[int]:
+        if len(self) > CACHE:  # before anything counts on what is known
+            self.clear()
+            self.merged.clear()
         out, at, split = [0] * len(texts), [], []
         for i, t in enumerate(texts):
             if ODD_SPACE.search(t):
