@@ -10,8 +10,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+#: Bytes between words: white space; or all of ASCII but letters and digits.
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+PUNCTUATION = np.ones(256, bool)
+PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _VALUES = np.random.default_rng(20240601).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,11 +75,11 @@ class Words:
     """hashes: of every word of all texts; doc: index of its text; first: per text the index of its first word, the end last;
     start, end: byte places."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, between: np.ndarray = SPACE, hashed: bool = True):
         raw, offsets = text_bytes(texts)
         n = len(raw)
         inside = np.zeros(n + 2, bool)
-        np.logical_not(_SPACE[raw], out=inside[1:-1])
+        np.logical_not(between[raw], out=inside[1:-1])
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         starts = np.flatnonzero(inside[1:] & (~inside[:-1] | edge))
@@ -84,7 +87,7 @@ class Words:
         self.raw, self.offsets, self.start, self.end = raw, offsets, starts, ends
         self.first = np.searchsorted(starts, offsets)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        self.hashes = self._hash(raw, starts, ends)
+        self.hashes = self._hash(raw, starts, ends) if hashed else np.zeros(0, np.uint64)
 
     @staticmethod
     def _hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
