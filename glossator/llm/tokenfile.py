@@ -35,10 +35,10 @@ from .tokencount import tokenizer
 from .words import pieces
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Where a text may be cut at each single space without changing its pre-tokens: no other white space beside a space, and none
-#: but newline and tab at all.
-UNCUT = re.compile(r"[ \n\t] | [\n\t]|[\x0b-\r\x1c-\x1f\x85\xa0  -     　]")
-CACHE, CACHE_CHARS = 400_000, 64
+#: White space that keeps a text from being cut at its spaces: any beside a space, and all but newline and tab.
+BESIDE = ("  ", "\n ", " \n", "\t ", " \t")
+ODD_SPACE = re.compile(r"[\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+CACHE, CACHE_CHARS = 700_000, 64
 #: Ids in a file, about.
 FILE_IDS = 4 << 20
 
@@ -48,6 +48,11 @@ class ChunkEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes that each id stands for; a byte-level vocabulary has a letter for each byte.
+        self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for piece, k in vocab.items():
+            self.bytes[k] = len(piece)
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
@@ -56,23 +61,36 @@ class ChunkEncoder:
         self.size, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint16)
 
-    def by_library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, chunks: list[str]) -> None:
-        found = self.by_library(chunks)
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
+    def by_library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, chunks: set[str]) -> None:
+        """Encode chunks. Those that begin with a lone space go to the library end to end, as such a place is always a border
+        of pre-tokens; how many ids belong to each then follows from the ids' byte lengths."""
+        joined = [c for c in chunks if c[0] == " " and len(c) <= CACHE_CHARS and c[1:2].strip()]
+        alone = list(chunks.difference(joined))
+        ids, sizes = [], []
+        for k in range(0, len(joined), 4096):
+            part = joined[k : k + 4096]
+            (found,) = self.by_library(["".join(part)])
+            at = np.searchsorted(np.cumsum(self.bytes[found]), np.cumsum([len(c.encode()) for c in part]))
+            ids.append(found)
+            sizes.append(np.diff(at + 1, prepend=0))
+        found = self.by_library(alone)
+        ids += found
+        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        size = np.concatenate(sizes)
         base = len(self.size)
-        self.place.update(zip(chunks, range(base, base + len(chunks)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in found for i in x), np.uint16, int(sizes.sum()))])
+        self.place.update(zip(joined + alone, range(base, base + len(size)), strict=True))
+        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, *ids])
 
     def chunks(self, text: str) -> list[str]:
         """Strings whose ids, end to end, are the text's."""
         if not text:
             return []
-        if UNCUT.search(text) or any(s in text for s in self.specials):
+        if any(s in text for s in BESIDE) or ODD_SPACE.search(text) or any(s in text for s in self.specials):
             return [text]
         first, *rest = text.split(" ")
         return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
@@ -84,7 +102,7 @@ class ChunkEncoder:
         cut = [self.chunks(t) for t in texts]
         new = set().union(*cut) - self.place.keys()
         if new:
-            self.learn(list(new))
+            self.learn(new)
         n = np.fromiter(map(len, cut), np.int64, len(cut))
         flat_chunks = [c for x in cut for c in x]
         at = np.fromiter(map(self.place.__getitem__, flat_chunks), np.int64, len(flat_chunks))
