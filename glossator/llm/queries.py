@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from .decontaminate import op5_decontamination
+from .html_text import op3_html_text
+from .language import op6_language_id
 from .mixing import op1_mixing
 from .tokencount import op2_token_counts
 from .tokenfile import op10_token_output
@@ -10,6 +13,9 @@ from .vectors import op9_nearest
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
+    "op3_html_text": op3_html_text,
+    "op5_decontamination": op5_decontamination,
+    "op6_language_id": op6_language_id,
     "op9_nearest": op9_nearest,
     "op10_token_output": op10_token_output,
 }

@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 from .common import table
 
@@ -125,7 +126,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
     spark = docs.sparkSession
     whole = spark.sparkContext.broadcast(whole_tokens(path))
     kept = docs.select(*keep, text)
-    schema = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep) + ", n_bytes long, n_tokens long, over_limit boolean"
+    schema = StructType([*(kept.schema[c] for c in keep)]).add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         global _counter
