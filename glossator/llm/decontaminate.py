@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .graph import bloom, may_hold
 from .words import PUNCTUATION, Words, mix64, pieces
 
 #: Words at the ones must agree.
 MASKS = ("110111", "11010011", "11111")
 WINDOW, SHARE, LEAST = 20, 0.8, 10
-BLOOM_BITS = 1 << 23
 SALTS = 16
 
 
@@ -48,10 +48,6 @@ def seeds(hashes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield np.flatnonzero(fits), h[fits]
 
 
-def _bits(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return key & np.uint64(BLOOM_BITS - 1), (key >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)
-
-
 def benchmark_seeds(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Seeds (key, item_uid, at), and items (item_uid, item_id, words) with hashed words."""
 
@@ -77,16 +73,6 @@ def benchmark_seeds(benchmark: DataFrame, item: str, text: str) -> tuple[DataFra
     return written(items.select("item_uid", "words").mapInArrow(cut, "key long, item_uid long, at long"), "leak-seeds"), items
 
 
-def bloom(keys: DataFrame) -> np.ndarray:
-    """The filter's bits as bytes. Words of 64 bits are or-ed on the executors; at most BLOOM_BITS / 64 of them are sent."""
-    both = F.array(F.col("key").bitwiseAND(BLOOM_BITS - 1), F.shiftrightunsigned("key", 32).bitwiseAND(BLOOM_BITS - 1))
-    bit = keys.select(F.explode(both).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("mask"))
-    found = bit.groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    lanes = np.zeros(BLOOM_BITS // 64, np.int64)
-    lanes[found.word.to_numpy(np.int64)] = found["mask"].to_numpy(np.int64)
-    return np.unpackbits(lanes.view(np.uint8), bitorder="little")
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, text_hash, item_id, first_word, n_words, n_equal: every leak, the best window of each document and item.
 
@@ -94,19 +80,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
     """
     spark = docs.sparkSession
     bench, items = benchmark_seeds(benchmark, item, item_text)
-    sieve = spark.sparkContext.broadcast(np.packbits(bloom(bench)))
+    sieve = spark.sparkContext.broadcast(bloom(bench))
     given = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(sieve.value).astype(bool)
+        test = may_hold(sieve.value)
         for b in batches:
             for p in pieces(b, 2, 2 << 20):
                 w = Words(p.column(2), PUNCTUATION)
                 at, keys = [], []
                 for places, key in seeds(w.hashes, w.doc):
-                    one, two = _bits(key)
-                    may = np.flatnonzero(bits[one])
-                    may = may[bits[two[may]]]
+                    may = np.flatnonzero(test(key))
                     at.append(places[may])
                     keys.append(key[may])
                 where, key = np.concatenate(at), np.concatenate(keys)
