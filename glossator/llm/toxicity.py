@@ -30,10 +30,10 @@ from .language import _BETWEEN, _FOLD
 from .words import Words, mix64, pieces
 
 #: Rows that the classifier is fitted on, at most.
-POSITIVES, UNLABELLED = 4000, 8000
+POSITIVES, UNLABELLED = 3000, 6000
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
-ROUNDS, RATE, L1 = 200, 0.2, 3e-5
+ROUNDS, RATE, L1 = 200, 0.2, 1e-3
 
 
 def word_features(w: Words) -> np.ndarray:
@@ -53,39 +53,44 @@ def word_features(w: Words) -> np.ndarray:
 
 def fit(features: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights by bucket and the bias. features: distinct buckets of each document; positive: True for confirmed ones,
-    False for unlabelled ones."""
-    flat = np.concatenate(features) if features else np.zeros(0, np.int64)
-    # a bucket that few positives have can't tell anything apart
+    False for unlabelled ones. A second pass over the weights that the first one leaves undoes most of the penalty's pull."""
+    flat = np.concatenate(features) if features else np.zeros(0, np.uint32)
     n = np.fromiter(map(len, features), np.int64, len(features))
-    doc = np.repeat(np.arange(len(features)), n)
+    doc = np.repeat(np.arange(len(features), dtype=np.int32), n)
     seen = np.bincount(flat[positive[doc]], minlength=BUCKETS)
-    used = np.flatnonzero(seen >= 3)
-    place = np.full(BUCKETS, -1)
-    place[used] = np.arange(len(used))
-    keep = place[flat] >= 0
-    col, row = place[flat[keep]], doc[keep]
-    w, bias = np.zeros(len(used)), np.log(prior / (1 - prior))
-    square, square_b = np.full(len(used), 1e-12), 1e-12
+    used = np.flatnonzero(seen >= 3)  # a bucket that few positives have can't tell anything apart
+    weights, bias = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
+    for rounds, penalty in ((ROUNDS, L1), (ROUNDS // 2, L1 / 10)):
+        place = np.full(BUCKETS, -1, np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
+        keep = place[flat] >= 0
+        w, bias = _descend(place[flat[keep]], doc[keep], positive, prior, weights[used], bias, rounds, penalty)
+        weights[used] = w
+        used = used[w != 0]
+    return weights, bias
+
+
+def _descend(col: np.ndarray, row: np.ndarray, positive: np.ndarray, prior: float, w: np.ndarray, bias: float, rounds: int, penalty: float) -> tuple[np.ndarray, float]:
+    """Proximal AdaGrad on the risk; col, row: the places of ones in the matrix of documents (rows) by buckets."""
+    square, square_b = np.full(len(w), 1e-12), 1e-12
     n_p, n_u = max(1, int(positive.sum())), max(1, int((~positive).sum()))
-    for _ in range(ROUNDS):
-        f = bias + np.bincount(row, weights=w[col], minlength=len(features))
+    for _ in range(rounds):
+        f = bias + np.bincount(row, weights=w[col], minlength=len(positive))
         up = 1 / (1 + np.exp(-np.clip(f, -40, 40)))  # the slope of l(-f); that of l(f) is up - 1
         soft = np.logaddexp(0, f)
         negative = soft[~positive].sum() / n_u - prior * soft[positive].sum() / n_p
         if negative >= 0:
-            g = np.where(positive, prior / n_p * (up - 1) - prior / n_p * up, up / n_u)
+            g = np.where(positive, -prior / n_p, up / n_u)
         else:
             g = np.where(positive, prior / n_p * up, -up / n_u)
-        grad, grad_b = np.bincount(col, weights=g[row], minlength=len(used)), g.sum()
+        grad, grad_b = np.bincount(col, weights=g[row], minlength=len(w)), float(g.sum())
         square += grad**2
         square_b += grad_b**2
         step = RATE / np.sqrt(square)
         w = w - step * grad
-        w = np.sign(w) * np.maximum(np.abs(w) - step * L1, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - step * penalty, 0)
         bias -= RATE * grad_b / np.sqrt(square_b)
-    weights = np.zeros(BUCKETS)
-    weights[used] = w
-    return weights, float(bias)
+    return w, bias
 
 
 def held_out(doc_id: Column) -> Column:
@@ -122,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str) -
     positive = np.array([p for _, p in rows], bool)
     if not positive.any() or positive.all():
         return none
-    return fit([np.frombuffer(f, "<u4").astype(np.int64) for f, _ in rows], positive, prior)
+    return fit([np.frombuffer(f, "<u4") for f, _ in rows], positive, prior)
 
 
 def scores(docs: DataFrame, model: tuple[np.ndarray, float], doc: str = "doc_id", text: str = "text") -> DataFrame:
