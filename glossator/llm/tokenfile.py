@@ -35,8 +35,8 @@ from .tokencount import tokenizer
 from .words import pieces
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: White space that keeps a text from being cut at its spaces: any beside a space, and all but newline and tab.
-BESIDE = ("  ", "\n ", " \n", "\t ", " \t")
+#: White space that keeps a text from being cut into words: more than one together, and all but newline and tab.
+BESIDE = ("  ", "\n ", " \n", "\t ", " \t", "\n\n", "\n\t", "\t\n")
 ODD_SPACE = re.compile(r"[\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 CACHE, CACHE_CHARS = 700_000, 64
 #: Ids in a file, about.
@@ -44,7 +44,7 @@ FILE_IDS = 4 << 20
 
 
 class ChunkEncoder:
-    """Token ids of texts by remembered chunks, from one space to the next."""
+    """Token ids of texts by remembered words with the white space before them."""
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
@@ -65,35 +65,50 @@ class ChunkEncoder:
         return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode chunks. Those that begin with a lone space go to the library end to end, as such a place is always a border
-        of pre-tokens; how many ids belong to each then follows from the ids' byte lengths."""
-        joined = [c for c in chunks if c[0] == " " and len(c) <= CACHE_CHARS and c[1:2].strip()]
-        alone = list(chunks.difference(joined))
+        """Encode chunks. Words go to the library end to end, each behind its space or newline, as such a place is always a
+        border of pre-tokens; how many ids belong to each then follows from the ids' byte lengths."""
+        short = [c for c in chunks if len(c) <= CACHE_CHARS]
+        spaced = [c for c in short if c and c[0] not in "\0\n\1"]
+        lines = [c for c in short if c and c[0] in "\0\n" and len(c) > 1]
+        alone = list(chunks.difference(spaced, lines))
         ids, sizes = [], []
-        for k in range(0, len(joined), 4096):
-            part = joined[k : k + 4096]
-            (found,) = self.by_library(["".join(part)])
-            at = np.searchsorted(np.cumsum(self.bytes[found]), np.cumsum([len(c.encode()) for c in part]))
-            ids.append(found)
-            sizes.append(np.diff(at + 1, prepend=0))
-        found = self.by_library(alone)
+        for kind, lead in ((spaced, " "), (lines, "")):
+            for k in range(0, len(kind), 4096):
+                part = [lead + c for c in kind[k : k + 4096]]
+                (found,) = self.by_library(["".join(part).replace("\0", "\n")])
+                at = np.searchsorted(np.cumsum(self.bytes[found]), np.cumsum([len(c.encode()) for c in part]))
+                n = np.diff(at + 1, prepend=0)
+                if kind is lines:  # a text's first word has no newline before it
+                    first = np.flatnonzero([c[0] == "\0" for c in part])
+                    found = np.delete(found, (np.cumsum(n) - n)[first])
+                    n[first] -= 1
+                ids.append(found)
+                sizes.append(n)
+        found = self.by_library([c[1:] if c[:1] in ("\0", "\1") else c if c[:1] == "\n" else " " + c for c in alone])
         ids += found
         sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
         size = np.concatenate(sizes)
         base = len(self.size)
-        self.place.update(zip(joined + alone, range(base, base + len(size)), strict=True))
+        self.place.update(zip(spaced + lines + alone, range(base, base + len(size)), strict=True))
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, *ids])
 
     def chunks(self, text: str) -> list[str]:
-        """Strings whose ids, end to end, are the text's."""
+        """Keys whose ids, end to end, are the text's: a word after a space is its own key, one after a newline has it in
+        front, the first word a zero; a text that can't be cut is one key behind a one."""
         if not text:
             return []
-        if any(s in text for s in BESIDE) or ODD_SPACE.search(text) or any(s in text for s in self.specials):
-            return [text]
-        first, *rest = text.split(" ")
-        return [first, *map(" ".__add__, rest)] if first else list(map(" ".__add__, rest))
+        if "\0" in text or "\1" in text or text[-1] == "\n" or text[0] in " \n" or any(s in text for s in BESIDE) or ODD_SPACE.search(text) or any(s in text for s in self.specials):
+            return ["\1" + text]
+        out = []
+        lead = "\0"
+        for line in text.split("\n"):
+            words = line.split(" ")
+            words[0] = lead + words[0]
+            lead = "\n"
+            out += words
+        return out
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and the number of ids of each."""
