@@ -5,8 +5,48 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glossator.llm.common import drop_path, scratch, table
+from glossator.llm.decontaminate import without_leaks
+from glossator.llm.dedup import deduplicated
+from glossator.llm.language import with_language
+from glossator.llm.mixing import mix_texts
+from glossator.llm.tokenfile import token_output
 
-STAGES: list = []
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is found."""
+    return with_language(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of benchmark."""
+    return without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sources at their target weights: documents repeated, and some cut."""
+    return mix_texts(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the corpus, read back: a row a document."""
+    import public_tokenizers
+
+    return token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language ID", language),
+    ("near-dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token ids", token_ids),
+]
 
 #: SQL can't express its stages.
 ORACLE_SQL = None
