@@ -6,6 +6,7 @@ from .decontaminate import op5_decontamination
 from .dedup import op7_near_dedup
 from .html_text import op3_html_text
 from .language import op6_language_id
+from .licenses import op4_license_scan, oracle
 from .mixing import op1_mixing
 from .tokencount import op2_token_counts
 from .tokenfile import op10_token_output
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_html_text": op3_html_text,
+    "op4_license_scan": op4_license_scan,
     "op5_decontamination": op5_decontamination,
     "op6_language_id": op6_language_id,
     "op7_near_dedup": op7_near_dedup,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_license_scan": oracle()}
