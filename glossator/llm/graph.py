@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_path, scratch
 
 BLOOM_BITS = 1 << 23
 
@@ -32,10 +32,19 @@ def components(edges: DataFrame) -> DataFrame:
             met = met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         return met.where("a != b").distinct()
 
-    now = written(edges.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+
+    def kept(e: DataFrame) -> tuple[DataFrame, str]:
+        path = scratch(spark, "edges")
+        e.write.option("compression", "zstd").parquet(path)
+        return spark.read.parquet(path), path
+
+    now, path = kept(edges.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct())
     state = None
     while True:
-        now = written(star(star(now, True), False), "edges")
+        after, new_path = kept(star(star(now, True), False))
+        drop_path(spark, path)
+        now, path = after, new_path
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == state:
             break
