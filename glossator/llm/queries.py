@@ -6,6 +6,7 @@ from .decontaminate import op5_decontamination
 from .dedup import op7_near_dedup
 from .html_text import op3_html_text
 from .language import op6_language_id
+from . import oracles
 from .licenses import op4_license_scan, oracle
 from .mixing import op1_mixing
 from .tokencount import op2_token_counts
@@ -26,4 +27,9 @@ QUERIES = {
     "op10_token_output": op10_token_output,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_license_scan": oracle()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_mixing": oracles.MIXING,
+    "op4_license_scan": oracle(),
+    "op7_near_dedup": oracles.NEAR_DEDUP,
+    "op9_nearest": oracles.NEAREST,
+}
