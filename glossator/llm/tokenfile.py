@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: White space that keeps a text from being cut into words: more than one together, and all but newline and tab.
 BESIDE = ("  ", "\n ", " \n", "\t ", " \t", "\n\n", "\n\t", "\t\n")
 ODD_SPACE = re.compile(r"[\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE, CACHE_CHARS = 700_000, 64
+CACHE, CACHE_CHARS = 1_000_000, 64
 #: Ids in a file, about.
 FILE_IDS = 4 << 20
 
@@ -54,6 +55,9 @@ class ChunkEncoder:
         for piece, k in vocab.items():
             self.bytes[k] = len(piece)
         self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # as chunks() tells them: texts that go to the library whole
+        beside = "|".join(["^[ \n]", "\n$", "[\\x00\\x01]", *BESIDE, *map(re.escape, self.specials)])
+        self.whole = beside + r"|[\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
         self.forget()
 
     def forget(self) -> None:
@@ -110,17 +114,26 @@ class ChunkEncoder:
             out += words
         return out
 
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and the number of ids of each."""
         if len(self.size) > CACHE:
             self.forget()
-        cut = [self.chunks(t) for t in texts]
-        new = set().union(*cut) - self.place.keys()
+        texts = pc.fill_null(texts, "")
+        if pc.any(pc.match_substring_regex(texts, self.whole), min_count=0).as_py():
+            keys = [self.chunks(t) for t in texts.to_pylist()]
+            n = np.fromiter(map(len, keys), np.int64, len(keys))
+            column = pa.array([c for x in keys for c in x], pa.string())
+        else:  # the same keys, cut by Arrow
+            marked = pc.replace_substring(pc.binary_join_element_wise("\0", texts, ""), "\n", " \n")
+            cut = pc.split_pattern(marked, " ")
+            n = pc.list_value_length(cut).to_numpy().astype(np.int64)
+            column = cut.flatten()
+        coded = column.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = set(distinct) - self.place.keys()
         if new:
             self.learn(new)
-        n = np.fromiter(map(len, cut), np.int64, len(cut))
-        flat_chunks = [c for x in cut for c in x]
-        at = np.fromiter(map(self.place.__getitem__, flat_chunks), np.int64, len(flat_chunks))
+        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         sizes = self.size[at]
         ends = np.cumsum(sizes)
         inside = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
@@ -151,8 +164,8 @@ def encoded(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_of(path)
         for b in batches:
-            for p in pieces(b, 2, 1 << 20):
-                ids, n = enc.encode([t or "" for t in p.column(2).to_pylist()], end)
+            for p in pieces(b, 2, 4 << 20):
+                ids, n = enc.encode(p.column(2), end)
                 offsets = np.concatenate([[0], np.cumsum(n * 2)])
                 raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(n), raw], names=["key", "tie", "n", "ids"])
