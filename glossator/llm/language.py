@@ -199,7 +199,7 @@ def identify(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs")
 
 
-def with_language(docs: DataFrame, least: float = 0.5, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+def with_language(docs: DataFrame, least: float = 0.4, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """docs whose language is found, in a proportion of ``least`` at least; their columns stay as they are."""
     langs, model = learn(docs.where(~held_out(F.col(doc))), text, lang)
     whole = docs.select(F.struct("*").alias("_doc"), F.col(text).alias("_body"))
