@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 SPACE = r"(?U)[\s\x{FEFF}]"
 
 
+def _broken(mark: str) -> str:
+    """A word that goes on in lower case after a mark at its line's end, the letters beside the break in two groups."""
+    gap = r"\s*"
+    return rf"(?U)(\p{{L}}){mark}{gap}\n{gap}(\p{{Ll}})"
+
+
 def normalize_page(text: Column) -> Column:
     """Joins words hyphenated (or soft-hyphenated) over a line's end, makes runs of controls and spaces one space, trims."""
-    joined = F.regexp_replace(text, r"(?U)(\p{L})[-\x{AD}]\s*\n\s*(\p{Ll})", "$1$2")
-    return F.trim(F.regexp_replace(joined, r"(?U)[\p{Cc}\p{Cf}\s\x{FEFF}]+", " "))
+    joined = F.regexp_replace(text, _broken(r"[-\x{AD}]"), "$1$2")
+    return F.trim(F.regexp_replace(joined, r"(?U)[\s\x{FEFF}\p{Cc}\p{Cf}]+", " "))
 
 
 def clean(text: Column) -> Column:
     """For display: joins hyphenated words, collapses white space, trims."""
-    joined = F.regexp_replace(text, r"(?U)(\p{L})-\s*\n\s*(\p{Ll})", "$1$2")
+    joined = F.regexp_replace(text, _broken("-"), "$1$2")
     return F.trim(F.regexp_replace(joined, SPACE + "+", " "))
 
 
@@ -118,7 +124,7 @@ def history_id(query: Column, model: Column, source: Column) -> Column:
 
 def since_utc(day: Column, zone: str = "UTC") -> Column:
     """Midnight of a day YYYY-MM-DD in zone, as UTC; null for what is no such day."""
-    fits = F.when(F.rlike(day, F.lit(r"^\d{4}-\d{2}-\d{2}$")), day)
+    fits = F.when(F.rlike(day, F.lit(r"^\d{4}(-\d\d){2}$")), day)
     return F.to_utc_timestamp(F.try_to_timestamp(fits, F.lit("yyyy-MM-dd")), zone)
 
 

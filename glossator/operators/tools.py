@@ -17,7 +17,7 @@ from . import items as it
 from . import search as s
 from . import store
 
-DAY = re.compile(r"^\d{4}-\d{2}-\d{2}$")
+DAY = re.compile(r"\d{4}(-\d\d){2}")
 PROTOCOLS = ("2025-06-18", "2025-03-26", "2024-11-05")
 
 
@@ -34,7 +34,7 @@ def _text(args: dict, name: str) -> str:
 
 def _day(args: dict, name: str) -> str | None:
     v = args.get(name)
-    if v is not None and (not isinstance(v, str) or not DAY.match(v)):
+    if v is not None and (not isinstance(v, str) or not DAY.fullmatch(v)):
         raise ToolError(f"{name} must be a day YYYY-MM-DD")
     return v
 

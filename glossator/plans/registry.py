@@ -65,7 +65,7 @@ def sims(ids: list[int], extra: str = "") -> str:
         s as (select rowid, id, section_number, segment, list_cosine_similarity(v, qv) as similarity from p, q {extra})"""
 
 
-# -- vectors ---------------------------------------------------------------------------------------------------------------
+# vectors
 
 
 @query(f"with {sims([0])} select rowid, round(similarity, 6) as similarity, row_number() over (order by similarity desc, rowid) as rank from s where similarity >= 0.2 order by rank limit 20")
@@ -205,7 +205,7 @@ def json_vector_roundtrip(spark, sf):
     return got.select("rowid", F.col("k").cast("long").alias("k"), r6(F.col("x").cast("double")).alias("x"))
 
 
-# -- documents and state ----------------------------------------------------------------------------------------------------
+# documents and state
 
 
 @query("select cast(label as varchar) as id, count(*) as sections, max(vec_id) as last from embeddings group by label")
@@ -229,7 +229,7 @@ def state_key(spark, sf):
     return store.state_key(store.without(passages(spark, sf), spark.range(1).select(F.lit("3").alias("id"))))
 
 
-# -- saved searches and statuses --------------------------------------------------------------------------------------------
+# saved searches and statuses
 
 HISTORY = "h as (select user_id as id, ts as date, event_type as query, event_id as rowid, case when value > 50 then 'mcp' end as source from events)"
 
@@ -273,7 +273,7 @@ def status_carry_page(spark, sf):
     return store.carried_by_page(d, old).select("doc_id", "status")
 
 
-# -- items, filters, pages ----------------------------------------------------------------------------------------------------
+# items, filters, pages
 
 
 @query("select lang as item_type, count(*) as n from documents where lang is not null group by lang")
@@ -328,7 +328,7 @@ def result_shape(spark, sf):
     return search.shaped(o, 6).select("id", "score", "page_number", "day", "shown")
 
 
-# -- ingestion --------------------------------------------------------------------------------------------------------------
+# ingestion
 
 
 @query("select doc_id as id from documents where doc_id not in (select doc_id from labels where toxic = 1) and lang != 'en'")
@@ -385,15 +385,15 @@ def exclusion_cascade(spark, sf):
     return left.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-# -- texts ------------------------------------------------------------------------------------------------------------------
+# texts
 
 
-@query(r"""select doc_id, md5(trim(regexp_replace(regexp_replace(text, '(\p{L})[-\x{AD}]\s*\n\s*(\p{Ll})', '\1\2', 'g'), '[\p{Cc}\p{Cf}\s]+', ' ', 'g'))) as h from documents""")
+@query(r"""select doc_id, md5(trim(regexp_replace(regexp_replace(text, '(\p{L})[\x{AD}-]\s*[\n]\s*(\p{Ll})', '\1\2', 'g'), '[\p{Cc}\p{Cf}\s]+', ' ', 'g'))) as h from documents""")
 def text_normalize(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(texts.normalize_page(F.col("text"))).alias("h"))
 
 
-@query(r"""select doc_id, md5(trim(regexp_replace(regexp_replace(text, '(\p{L})-\s*\n\s*(\p{Ll})', '\1\2', 'g'), '\s+', ' ', 'g'))) as h from documents""")
+@query(r"""select doc_id, md5(trim(regexp_replace(regexp_replace(text, '(\p{L})[-]\s*[\n]\s*(\p{Ll})', '\1\2', 'g'), '\s+', ' ', 'g'))) as h from documents""")
 def text_clean(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(texts.clean(F.col("text"))).alias("h"))
 
@@ -465,7 +465,7 @@ def html_text(spark, sf):
     return got.select("page_id", F.length("t").cast("long").alias("n"), F.md5("t").alias("h"))
 
 
-# -- duplicates -------------------------------------------------------------------------------------------------------------
+# duplicates
 
 
 def hashes(spark, sf) -> DataFrame:
@@ -512,7 +512,7 @@ def dup_merge_fields(spark, sf):
     return duplicates.merged_fields(parents).select("hash", F.explode("fields").alias("name", "value"))
 
 
-# -- changes over time --------------------------------------------------------------------------------------------------------
+# changes over time
 
 
 SESSIONS = """with g as (select {key} as key, ts, case when ts - lag(ts) over ({part} order by ts) <= interval '{gap}' then 0 else 1 end as fresh from events),
