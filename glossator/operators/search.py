@@ -32,15 +32,19 @@ def restricted(passages: DataFrame, keys: DataFrame, key: str = "id") -> DataFra
     return passages.join(keys.select(F.col(key).alias("_key")).distinct(), F.col(key) == F.col("_key"), "left_semi")
 
 
+def bounded(queries: DataFrame) -> DataFrame:
+    """queries for a broadcast, once they are counted."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} query segments: use scan()")
+    return F.broadcast(queries)
+
+
 def scored(passages: DataFrame, queries: DataFrame) -> DataFrame:
     """passages x queries with similarity, the exact cosine.
 
     queries are counted first: they are broadcast up to MOST_QUERIES rows and refused beyond, where scan() is the way.
     """
-    n = queries.limit(MOST_QUERIES + 1).count()
-    if n > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query segments: use scan()")
-    return passages.join(F.broadcast(queries), F.lit(True)).withColumn("similarity", cosine(F.col("embedding"), F.col("vec")))
+    return passages.join(bounded(queries), F.lit(True)).withColumn("similarity", cosine(F.col("embedding"), F.col("vec")))
 
 
 def scan(passages: DataFrame, queries: list[tuple[int, int, list[float]]], least: float, block: int = 1024, approximate: bool = False) -> DataFrame:
@@ -144,7 +148,7 @@ def similar_documents(passages: DataFrame, sources: DataFrame, limit: int = 20,
     """(source, id, best, mean, rowid, rank): documents nearest to each source's centroid, itself left out before the limit and
     missing ones after it. sources: (id, centroid)."""
     s = sources.select(F.col("id").alias("source"), "centroid")
-    hits = passages.join(F.broadcast(s.limit(MOST_QUERIES)), F.col("id") != F.col("source")).withColumn("score", dot(unit(F.col("embedding")), F.col("centroid")))
+    hits = passages.join(bounded(s), F.col("id") != F.col("source")).withColumn("score", dot(unit(F.col("embedding")), F.col("centroid")))
     best = F.max(F.struct("score", (-F.col("rowid")).alias("o"))).alias("b")
     docs = hits.groupBy("source", "id").agg(best, F.avg("score").alias("mean"))
     docs = docs.select("source", "id", F.col("b.score").alias("best"), "mean", (-F.col("b.o")).alias("rowid"))
