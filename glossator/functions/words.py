@@ -19,6 +19,7 @@ _SCRIPTS = (
     "Georgian Hangul Ethiopic Cherokee Khmer Mongolian Hiragana Katakana Bopomofo Han"
 ).split()
 _KIND = [(name, regex.compile(rf"\p{{Script={name}}}")) for name in _SCRIPTS]
+_LATIN = regex.compile(r"\p{Script=Latin}")
 _DROPPED = regex.compile(r"[\p{Cc}\p{Cf}]")
 _BLANK = regex.compile(r"[\s﻿]")
 _EMOJI = regex.compile(r"\p{Extended_Pictographic}")
@@ -38,8 +39,34 @@ def char_class(c: str) -> str:
     return next((name for name, p in _KIND if p.match(c)), "Unknown")
 
 
+_SIMPLE = regex.compile(r"(?V1)[[\p{Script=Latin}\p{Script=Common}\s﻿]--[[\p{Cc}\p{Cf}]--[\s﻿]]--\p{Extended_Pictographic}]*+")
+_RUN = regex.compile(r"\p{Script=Latin}++|(?![\s\uFEFF])\p{Script=Common}(?:[\s\uFEFF]*+\p{Script=Common})*+")
+
+
 def split_words(text: str) -> list[tuple[str, int, int]]:
     """(word, start, end), offsets in code points of text."""
+    if not _SIMPLE.fullmatch(text):
+        return split_by_character(text)
+    out = []
+    for m in _RUN.finditer(text):
+        word, start = m[0], m.start()
+        if word[0].isalpha() and _LATIN.match(word):
+            out.append((word, start, m.end()))
+            continue
+        if len(word) == 1:
+            out.append((word, start, start + 1))
+            continue
+        inside = [(c, start + i) for i, c in enumerate(word) if not (c.isspace() or c == "\ufeff")]
+        word = "".join(c for c, _ in inside)
+        if _MARKS.fullmatch(word):
+            out += [(c, i, i + 1) for c, i in inside]
+        else:
+            out.append((word, start, inside[-1][1] + 1))
+    return out
+
+
+def split_by_character(text: str) -> list[tuple[str, int, int]]:
+    """What split_words gives, for any text."""
     out: list[tuple[str, int, int]] = []
     run: list[tuple[str, int]] = []
     script = ""

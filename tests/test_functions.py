@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from glossator.functions import codecs, texts, vectors
 from glossator.functions.encoders import HashingEncoder, batches_of, embed, query_segments
-from glossator.functions.words import chunk_pages, chunks, plain_count, split_words
+from glossator.functions.words import chunk_pages, chunks, plain_count, split_by_character, split_words
 from glossator.models import MODELS, clamp, positive
 from glossator.sources import files
 
@@ -54,6 +54,12 @@ def test_split_words():
     assert all("foo  bar, 12 日"[s:e].replace(" ", "") == x for x, s, e in split_words("foo  bar, 12 日"))
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text("aZé.,|1 9\n\t\xa0\u3000ªº²$*日🚀\u200b\u0301©ﬁ", max_size=40))
+def test_fast_split(text):
+    assert split_words(text) == split_by_character(text)
+
+
 def test_chunks_of_pages():
     pages = [SENTENCE * 40, "A short lead. " + SENTENCE * 25, ""]
     got = chunk_pages(pages, plain_count, 126)
