@@ -5,7 +5,8 @@ a benchmark item and of a training text gives one hash a mask. Where hashes meet
 that offset; the item leaks if some ``WINDOW`` words of it (all, if it has fewer) agree with the text in at least 80 %.
 The masks hit every such overlap of 10 to 20 words, whichever words are substituted (a test tries all patterns).
 
-Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased, so punctuation doesn't hide a passage.
+Words are runs of letters, digits and non-ASCII characters, case-folded and composed (NFC) by Unicode, so neither punctuation,
+capitals nor decomposed accents hide a passage.
 
 Training hashes that can't match are dropped before any shuffle by a Bloom filter of the benchmark's hashes. Its size is
 fixed, whatever the benchmark's; with too many hashes it lets more through, and the join that follows is exact anyway. Texts
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 from .graph import bloom, may_hold
-from .words import PUNCTUATION, Words, mix64, pieces
+from .words import PUNCTUATION, Words, folded, mix64, pieces
 
 #: Words at the ones must agree.
 MASKS = ("110111", "11010011", "11111")
@@ -54,7 +55,7 @@ def benchmark_seeds(benchmark: DataFrame, item: str, text: str) -> tuple[DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p in pieces(b, 1):
-                w = Words(p.column(1), PUNCTUATION)
+                w = Words(folded(p.column(1)), PUNCTUATION)
                 long_enough = np.diff(w.first) >= LEAST
                 words = [w.hashes[w.first[i] : w.first[i + 1]].tobytes() if long_enough[i] else None for i in range(p.num_rows)]
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(words, pa.binary())], names=["item_id", "words"])
@@ -87,7 +88,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
         test = may_hold(sieve.value)
         for b in batches:
             for p in pieces(b, 2, 2 << 20):
-                w = Words(p.column(2), PUNCTUATION)
+                w = Words(folded(p.column(2)), PUNCTUATION)
                 at, keys = [], []
                 for places, key in seeds(w.hashes, w.doc):
                     may = np.flatnonzero(test(key))

@@ -6,6 +6,8 @@ values modulo 2**64, read off running sums, then mixed; it depends on the word a
 
 from __future__ import annotations
 
+import unicodedata
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,6 +51,18 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
         i = j
 
 
+def _fold(text: str) -> str:
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+
+
+def folded(texts: pa.Array) -> pa.Array:
+    """The texts without differences of case or composition, by Unicode; pure ASCII ones as they are, for Words folds A-Z."""
+    plain = pc.fill_null(pc.string_is_ascii(texts), True)
+    if pc.all(plain).as_py():
+        return texts
+    return pa.array([t if same else _fold(t) for t, same in zip(texts.to_pylist(), plain.to_pylist(), strict=True)], pa.large_string())
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(30))

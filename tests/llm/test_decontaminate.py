@@ -2,6 +2,7 @@
 
 import itertools
 import re
+import unicodedata
 
 import pyarrow as pa
 
@@ -75,6 +76,16 @@ def test_against_plain(spark):
     assert {r.doc_id for r in left.collect()} == {3, 6, 7, 8, 9, 10}
 
 
+def test_accents_in_capitals(spark):
+    item = "l'été où Éric révèle à Zoë ce gâteau très sucré près de la forêt brûlée était déjà mûr für größere Bäche übrig"
+    docs = [(1, "x y " + item.upper()), (2, unicodedata.normalize("NFD", item)), (3, item), (4, "rien de tel ici ".upper() * 9)]
+    dd = spark.createDataFrame(docs, "doc_id long, text string")
+    bb = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in d.leaks(dd, bb).collect()}
+    assert set(got) == {1, 2, 3} and all(r.n_words == r.n_equal == 20 for r in got.values())
+    assert [r.doc_id for r in d.without_leaks(dd, bb).collect()] == [4]
+
+
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 3000")
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
