@@ -3,8 +3,9 @@
 The standard library's parser streams a page's events. Block tags cut it into lines; each line has its text, the tags met
 since the last one and the elements it lies in. Lines in elements that never hold the article (menus, page headers and
 footers, sidebars, notices, adverts, forms, scripts, comments and what names itself so) have ratio 0. The ratios of text to
-tags are smoothed along the page by a Gaussian; lines above the threshold form clusters. The content region is the innermost
-element that holds nearly all text of the clusters, so the short lines between its long ones belong to it.
+tags are smoothed along the page by a Gaussian; lines above the threshold form clusters. The content region is the
+article or main element around nearly all text of the clusters, else the innermost element that holds all of it, so the short
+lines between its long ones belong to it.
 
 Defined cases: null, empty and text-free pages give an empty text; broken markup is read as far as it goes (unclosed elements
 end with the page); if the names of elements would exclude all text, names are ignored; very long pages are read whole;
@@ -41,7 +42,7 @@ BOXES = frozenset("html body main article section div td center".split())
 #: What names say isn't heeded on these.
 FRAME = frozenset("html body main article".split())
 SIGMA, RADIUS = 1.0, 2
-#: Of the mean smoothed ratio; and the share of cluster text that the region must hold.
+#: Of the mean smoothed ratio; and the share of cluster text that lets an article be the region.
 THRESHOLD, HOLDS = 0.5, 0.9
 
 
@@ -146,16 +147,16 @@ def region(page: Lines) -> list[str]:
             held[element] = held.get(element, 0) + len(lines[i][0])
             depth[element] = d
     total = sum(len(lines[i][0]) for i in chosen)
-    best = max((e for e, n in held.items() if n >= HOLDS * total), key=depth.__getitem__, default=None)
-    if best is None:  # no element holds the clusters: whatever isn't excluded
+    inner = lambda share: max((e for e, n in held.items() if n >= share * total), key=depth.__getitem__, default=None)
+    to = lambda e: next(lines[i][2][: lines[i][2].index(e) + 1] for i in chosen if e in lines[i][2])
+    near, best = inner(HOLDS), inner(1)
+    whole = [e for e in to(near) if page.kind[e] in ("article", "main")] if near is not None else []
+    if whole:  # an article is taken whole, and with it what the clusters have beside it in the outermost one
+        best = next(e for e in reversed(whole) if held[e] == held[whole[0]])
+    elif best is None:  # no element holds the clusters: whatever isn't excluded
         return [text for text, *_, out in lines if not out]
-    path = next(lines[i][2] for i in chosen if best in lines[i][2])
-    path = path[: path.index(best) + 1]
-    # an article is taken whole; a box with a single line is but a paragraph of its parent
-    whole = [e for e in path if page.kind[e] in ("article", "main")]
-    if whole:
-        best = whole[-1]
-    else:
+    else:  # a box with a single line is but a paragraph of its parent
+        path = to(best)
         while len(path) > 1 and sum(best in p and not out for _, _, p, out in lines) < 2:
             path = path[:-1]
             best = path[-1]

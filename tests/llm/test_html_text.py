@@ -30,6 +30,15 @@ def test_cases(page, want):
     assert main_text(page) == want
 
 
+LEAD, BODY, END = "lead words " * 45, "<p>" + "body words " * 100 + "</p>", "closing words " * 20
+
+
+@pytest.mark.parametrize("outer,inner", [("div", "div"), ("main", "article"), ("section", "div")])
+def test_clusters_outside_the_largest_box(outer, inner):
+    page = f"<body><nav>menu</nav><{outer}><h1>Head</h1><p>{LEAD}</p><{inner}>{BODY * 10}</{inner}><p>{END}</p></{outer}><footer>f</footer></body>"
+    assert main_text(page) == " ".join(f"Head {LEAD} {'body words ' * 1000} {END}".split())
+
+
 def plain(page):
     """The article of the driver's pages, which have no other markup in it than p, br, h1 and b."""
     body = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
