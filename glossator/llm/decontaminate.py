@@ -4,15 +4,16 @@ A seed is a fixed mask over neighbouring words: the hash of the words at its one
 a benchmark item and of a training text gives one hash a mask. Where hashes meet, the two texts are laid over each other at
 that offset; the item leaks if some ``WINDOW`` words of it (all, if it has fewer) agree with the text in at least 80 %.
 The masks hit every such overlap of 10 to 20 words, whichever words are substituted (a test tries all patterns).
+An item of fewer than ``LEAST`` words has one hash, of all its words, and leaks where they all stand in a row.
 
 Words are runs of letters, digits and non-ASCII characters, case-folded and composed (NFC) by Unicode, so neither punctuation,
-capitals nor decomposed accents hide a passage.
+capitals nor decomposed accents hide a passage. In scripts without spaces (Han, kana, Thai and others) each character is a word.
 
 Training hashes that can't match are dropped before any shuffle by a Bloom filter of the benchmark's hashes. Its size is
 fixed, whatever the benchmark's; with too many hashes it lets more through, and the join that follows is exact anyway. Texts
 don't move: of each text with hits, only the hashed words around them do. The join on hashes is salted.
 
-Defined cases: items of fewer than 10 words take no part; null and empty texts have no leaks; a passage cut short at a text's
+Defined cases: items without words take no part; null and empty texts have no leaks; a passage cut short at a text's
 border counts by the words that are there; each repeated row gets its own leaks once; an empty table gives no leaks; columns
 other than id and text are not read.
 """
@@ -36,12 +37,12 @@ WINDOW, SHARE, LEAST = 20, 0.8, 10
 SALTS = 16
 
 
-def seeds(hashes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per mask: the places where it fits into one text, and its hash there."""
-    for m, mask in enumerate(MASKS):
+def seeds(hashes: np.ndarray, doc: np.ndarray, masks: tuple[str, ...] = MASKS, tag: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per mask: the places where it fits into one text, and its hash there, told apart from other masks' by the tag."""
+    for m, mask in enumerate(masks):
         span = len(mask)
         n = max(0, len(hashes) - span + 1)
-        h = np.full(n, m + 1, np.uint64)
+        h = np.full(n, m + tag, np.uint64)
         for j, bit in enumerate(mask):
             if bit == "1":
                 h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n])
@@ -49,6 +50,11 @@ def seeds(hashes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield np.flatnonzero(fits), h[fits]
 
 
+def whole(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of n words in one text, and the hash of all of them there."""
+    return next(seeds(hashes, doc, ("1" * n,), len(MASKS) + n))
+
+
 def benchmark_seeds(benchmark: DataFrame, item: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Seeds (key, item_uid, at), and items (item_uid, item_id, words) with hashed words."""
 
@@ -56,8 +62,8 @@ def benchmark_seeds(benchmark: DataFrame, item: str, text: str) -> tuple[DataFra
         for b in batches:
             for p in pieces(b, 1):
                 w = Words(folded(p.column(1)), PUNCTUATION)
-                long_enough = np.diff(w.first) >= LEAST
-                words = [w.hashes[w.first[i] : w.first[i + 1]].tobytes() if long_enough[i] else None for i in range(p.num_rows)]
+                some = np.diff(w.first) > 0
+                words = [w.hashes[w.first[i] : w.first[i + 1]].tobytes() if some[i] else None for i in range(p.num_rows)]
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(words, pa.binary())], names=["item_id", "words"])
 
     kind = benchmark.schema[item].dataType.simpleString()
@@ -68,7 +74,8 @@ def benchmark_seeds(benchmark: DataFrame, item: str, text: str) -> tuple[DataFra
         for b in batches:
             for uid, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 h = np.frombuffer(words.as_buffer(), np.uint64)
-                for at, key in seeds(h, np.zeros(len(h), np.int8)):
+                doc = np.zeros(len(h), np.int8)
+                for at, key in seeds(h, doc) if len(h) >= LEAST else [whole(h, doc, len(h))]:
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(at), uid)), pa.array(at)], names=["key", "item_uid", "at"])
 
     return written(items.select("item_uid", "words").mapInArrow(cut, "key long, item_uid long, at long"), "leak-seeds"), items
@@ -82,6 +89,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
     spark = docs.sparkSession
     bench, items = benchmark_seeds(benchmark, item, item_text)
     sieve = spark.sparkContext.broadcast(bloom(bench))
+    short = [r.n for r in items.select((F.length("words") / 8).cast("int").alias("n")).where(F.col("n") < LEAST).distinct().collect()]
     given = docs.select(F.col(doc).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,6 +102,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
                     may = np.flatnonzero(test(key))
                     at.append(places[may])
                     keys.append(key[may])
+                for n in short:
+                    places, key = whole(w.hashes, w.doc, n)
+                    may = np.flatnonzero(test(key))
+                    # equal keys are exact copies: a text's first one tells, however common the item
+                    may = may[np.lexsort((places[may], key[may], w.doc[places[may]]))]
+                    new = np.ones(len(may), bool)
+                    new[1:] = (np.diff(w.doc[places[may]]) != 0) | (key[may][1:] != key[may][:-1])
+                    at.append(places[may[new]])
+                    keys.append(key[may[new]])
                 where, key = np.concatenate(at), np.concatenate(keys)
                 if not len(where):
                     continue
@@ -142,7 +159,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
                 same = np.concatenate([[0], np.cumsum(got[a + shift : z + shift] == want[a:z])])
                 runs = same[length:] - same[:-length]
                 best = int(runs.argmax())
-                if runs[best] >= SHARE * length - 1e-9 and (length == min(WINDOW, len(want)) or runs[best] >= LEAST):
+                share = SHARE if len(want) >= LEAST else 1
+                if runs[best] >= share * length - 1e-9 and (length == min(WINDOW, len(want)) or runs[best] >= LEAST):
                     keep.append(i)
                     first.append(start + a + shift + best)
                     size.append(length)

@@ -6,6 +6,7 @@ values modulo 2**64, read off running sums, then mixed; it depends on the word a
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import numpy as np
@@ -51,12 +52,23 @@ def pieces(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
         i = j
 
 
+#: Marks between words of East Asian scripts; and letters of scripts that don't put spaces between words: Thai and Lao,
+#: Tibetan, Myanmar, Khmer, Tai Le to Khmer signs, Tai Tham, kana and Han with their extensions.
+_MARKS = re.compile("[\u3000-\u3004\u3008-\u3020\u3030\u303d-\u303f\u30fb\uff01-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65]+")
+_UNSPACED = re.compile(
+    "([\u0e01-\u0eff\u0f00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3021-\u302f\u3031-\u303c\u3040-\u30fa\u30fc-\u30ff\u31f0-\u31ff"
+    "\u3400-\u4dbf\u4e00-\u9fff\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001aff0-\U0001b16f\U00020000-\U0003ffff])"
+)
+
+
 def _fold(text: str) -> str:
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    text = unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    return _UNSPACED.sub(r" \1 ", _MARKS.sub(" ", text))
 
 
 def folded(texts: pa.Array) -> pa.Array:
-    """The texts without differences of case or composition, by Unicode; pure ASCII ones as they are, for Words folds A-Z."""
+    """The texts without differences of case or composition, by Unicode, with each character of a script without spaces a
+    word of its own; pure ASCII ones as they are, for Words folds A-Z."""
     plain = pc.fill_null(pc.string_is_ascii(texts), True)
     if pc.all(plain).as_py():
         return texts

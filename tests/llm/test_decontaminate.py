@@ -86,6 +86,22 @@ def test_accents_in_capitals(spark):
     assert [r.doc_id for r in d.without_leaks(dd, bb).collect()] == [4]
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    chinese = "北京是中华人民共和国的首都，也是全国的政治文化中心。"
+    thai = "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"
+    items = [(1, "The capital of France?"), (2, "Eins"), (3, chinese), (4, thai), (5, "日本"), (6, "... !"), (7, ""), (8, "nine words stand here in a row just so")]
+    docs = [
+        (1, "he asked: the CAPITAL of france, twice; the capital of France"), (2, "the capital of all France"), (3, "eins " * 5000),
+        (4, "前文" + chinese.replace("首都", "首府") + "后文"), (5, "ก่อน" + thai + "หลัง"), (6, "在日本东京"), (7, "日 x 本"), (8, "... !"),
+        (9, "nine words stand here in a row just"), (10, "nine words stand here in a row just so"), (11, "capital of France"),
+    ]
+    dd = spark.createDataFrame(docs, "doc_id long, text string")
+    bb = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.first_word, r.n_words, r.n_equal) for r in d.leaks(dd, bb).collect()}
+    assert set(got) == {(1, 1), (3, 2), (4, 3), (5, 4), (6, 5), (10, 8)}
+    assert got[1, 1] == (2, 4, 4) and got[3, 2] == (0, 1, 1) and got[6, 5] == (1, 2, 2) and got[10, 8] == (0, 9, 9)
+
+
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 3000")
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
