@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word of the corpus operators, as a Java and as a Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows and bytes that a batch to or from Python may hold; a longer row is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,3 +60,30 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def crc_mod(col: Column, n: int) -> Column:
     """crc32 of a column's text, modulo n."""
     return F.crc32(col.cast("string").cast("binary")) % n
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as a worker that waits for its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """df.mapInArrow in batches of bounded size, which the session's settings may only lower; memory is returned at a task's end."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            conf.set(key, str(most))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(bounded, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import arrow, table, written
 from .graph import bloom, may_hold
 from .words import PUNCTUATION, Words, folded, mix64, pieces
 
@@ -67,7 +67,7 @@ def benchmark_seeds(benchmark: DataFrame, item: str, text: str) -> tuple[DataFra
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(words, pa.binary())], names=["item_id", "words"])
 
     kind = benchmark.schema[item].dataType.simpleString()
-    items = benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text")).mapInArrow(run, f"item_id {kind}, words binary")
+    items = arrow(benchmark.select(F.col(item).alias("item_id"), F.col(text).alias("text")), run, f"item_id {kind}, words binary")
     items = written(items.where("words is not null").distinct().withColumn("item_uid", F.xxhash64("item_id", "words")), "leak-items")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +78,7 @@ def benchmark_seeds(benchmark: DataFrame, item: str, text: str) -> tuple[DataFra
                 for at, key in seeds(h, doc) if len(h) >= LEAST else [whole(h, doc, len(h))]:
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.full(len(at), uid)), pa.array(at)], names=["key", "item_uid", "at"])
 
-    return written(items.select("item_uid", "words").mapInArrow(cut, "key long, item_uid long, at long"), "leak-seeds"), items
+    return written(arrow(items.select("item_uid", "words"), cut, "key long, item_uid long, at long"), "leak-seeds"), items
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -138,7 +138,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
 
     kind = given.schema["doc_id"].dataType.simpleString()
     shape = pa.schema([("doc_id", {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())), ("text_hash", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("hits", pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int64())])))])
-    regions = given.mapInArrow(run, f"doc_id {kind}, text_hash long, start long, words binary, hits array<struct<key:long,at:long>>")
+    regions = arrow(given, run, f"doc_id {kind}, text_hash long, start long, words binary, hits array<struct<key:long,at:long>>")
     regions = written(regions.distinct().withColumn("region", F.xxhash64("doc_id", "text_hash", "start")), "leak-regions")
     hits = regions.select("region", F.explode("hits").alias("hit")).select("region", "hit.key", F.col("hit.at").alias("place")).withColumn("salt", F.pmod(F.xxhash64("region"), F.lit(SALTS)).cast("int"))
     spread = bench.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -169,7 +169,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(6), pa.array(first, pa.int64()), pa.array(size, pa.int64()), pa.array(equal, pa.int64())], names=["doc_id", "text_hash", "item_id", "first_word", "n_words", "n_equal"])
 
     item_kind = items.schema["item_id"].dataType.simpleString()
-    found = laid.select("doc_id", "text_hash", "start", "words", "shift", "item_words", "item_id").mapInArrow(verify, f"doc_id {kind}, text_hash long, item_id {item_kind}, first_word long, n_words long, n_equal long")
+    found = arrow(laid.select("doc_id", "text_hash", "start", "words", "shift", "item_words", "item_id"), verify, f"doc_id {kind}, text_hash long, item_id {item_kind}, first_word long, n_words long, n_equal long")
     best = F.max(F.struct((F.col("n_equal") / F.col("n_words")).alias("share"), "n_words", (-F.col("first_word")).alias("o"), "n_equal"))
     found = found.groupBy("doc_id", "text_hash", "item_id").agg(best.alias("b"))
     return found.select("doc_id", "text_hash", "item_id", (-F.col("b.o")).alias("first_word"), "b.n_words", "b.n_equal")

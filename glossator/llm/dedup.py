@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import arrow, table, written
 from .graph import bloom, components, may_hold
 from .words import Words, mix64, pieces
 
@@ -86,7 +86,7 @@ def measured(docs: DataFrame, k: int) -> DataFrame:
                 bands = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.view(np.int64).reshape(-1)))
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(np.diff(first)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), bands], names=["doc_id", "n", "f1", "f2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return arrow(docs, run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
                 sets = [s[first[i] : first[i + 1]].tobytes() for i in range(p.num_rows)]
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(sets, pa.binary())], names=["member", "shingles"])
 
-    sets = given.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id")).mapInArrow(members, "member long, shingles binary")
+    sets = arrow(given.where("doc_id is not null").withColumn("key", F.xxhash64("doc_id")), members, "member long, shingles binary")
     sets = sets.where(F.length("shingles") > 0).join(places, "member")
 
     def verify(group: pa.Table) -> pa.Table:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import arrow, table
 from .words import pieces
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -185,7 +185,7 @@ def extract(pages: DataFrame, html: Column, keep: tuple[str, ...]) -> DataFrame:
                 texts = [main_text(t) for t in p.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(p.column(i) for i in range(len(keep))), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return kept.mapInArrow(run, schema)
+    return arrow(kept, run, schema)
 
 
 def op3_html_text(spark, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType, StructType
 
-from .common import crc_mod, table
+from .common import arrow, crc_mod, table
 from .words import Words, pieces
 
 BUCKETS = 1 << 16
@@ -86,7 +86,7 @@ def learn(labelled: DataFrame, text: str, lang: str) -> tuple[list[str], np.ndar
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(used)), pa.array(used), pa.array(row[used])], names=["lang", "bucket", "n"])
 
     known = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    found = known.mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    found = arrow(known, run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     counts = np.zeros((BUCKETS, len(langs)))
     if langs:
@@ -184,7 +184,7 @@ def predict(docs: DataFrame, langs: list[str], model: np.ndarray, keep: list[str
                     names=[*keep, "lang_pred", "score", "langs"],
                 )
 
-    return kept.mapInArrow(run, schema)
+    return arrow(kept, run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import table
+from .common import arrow, table
 
 #: Chunks that a worker remembers, and the longest one remembered.
 CACHE, CACHE_CHARS = 600_000, 64
@@ -142,7 +142,7 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", keep: tuple[str
                 cols = [piece.column(i) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
-    return kept.mapInArrow(run, schema)
+    return arrow(kept, run, schema)
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:

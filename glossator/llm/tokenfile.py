@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import huffman
-from .common import drop_path, scratch, table, written
+from .common import arrow, drop_path, scratch, table, written
 from .tokencount import tokenizer
 from .words import pieces
 
@@ -170,7 +170,7 @@ def encoded(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str
                 raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(n), raw], names=["key", "tie", "n", "ids"])
 
-    return kept.mapInArrow(run, "key long, tie long, n long, ids binary")
+    return arrow(kept, run, "key long, tie long, n long, ids binary")
 
 
 def id_counts(coded: DataFrame, symbols: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def id_counts(coded: DataFrame, symbols: int) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "n"])
 
-    found = coded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    found = arrow(coded.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(symbols, np.int64)
     out[found.id.to_numpy()] = found.n.to_numpy()
     return out
@@ -274,7 +274,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int, key: str = "
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "docs": [sum(map(len, keys))], "ids": [len(whole)]})
 
     ordered = coded.repartitionByRange(parts, F.col("key").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("key").asc_nulls_first(), "tie")
-    manifest = written(ordered.select("key", "n", "ids").mapInArrow(run, "part long, path string, docs long, ids long"), "token-manifest")
+    manifest = written(arrow(ordered.select("key", "n", "ids"), run, "part long, path string, docs long, ids long"), "token-manifest")
     drop_path(spark, kept)
     return manifest
 
@@ -303,7 +303,7 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
                     key = pa.array(keys[i:j], mask=nulls[i:j].astype(bool))
                     yield pa.RecordBatch.from_arrays([key, pa.array(base + ends[i:j] - sizes[i:j]), pa.array(sizes[i:j]), raw], names=["key", "start", "n_tokens", "ids"])
 
-    return files.mapInArrow(run, "key long, start long, n_tokens long, ids binary")
+    return arrow(files, run, "key long, start long, n_tokens long, ids binary")
 
 
 def token_output(docs: DataFrame, path: str, end: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, table
+from .common import arrow, crc_mod, table
 from .language import _BETWEEN, _FOLD
 from .words import Words, mix64, pieces
 
@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str) -
                 found = [np.unique(rows[w.first[i] : w.first[i + 1]]).astype("<u4").tobytes() for i in range(p.num_rows)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), p.column(1)], names=["features", "positive"])
 
-    got = sample.select("text", "positive").mapInArrow(run, "features binary, positive boolean").toArrow()
+    got = arrow(sample.select("text", "positive"), run, "features binary, positive boolean").toArrow()
     # the order of rows is arbitrary; sums are made in one order
     rows = sorted(zip(got["features"].to_pylist(), got["positive"].to_pylist(), strict=True))
     positive = np.array([p for _, p in rows], bool)
@@ -147,7 +147,7 @@ def scores(docs: DataFrame, model: tuple[np.ndarray, float], doc: str = "doc_id"
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(1 / (1 + np.exp(-np.clip(f, -40, 40))))], names=["doc_id", "score"])
 
     kept = docs.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"))
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, score double")
+    return arrow(kept, run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:

@@ -25,7 +25,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, table, written
+from .common import arrow, scratch, table, written
 
 #: Rows of an index block and of a query block.
 INDEX_ROWS, QUERY_ROWS = 32768, 256
@@ -68,7 +68,7 @@ def _mean(good: DataFrame, dim: int) -> np.ndarray:
             n += b.num_rows
         yield pa.RecordBatch.from_pydict({"k": [*range(dim), dim], "x": [*total, float(n)]})
 
-    rows = good.select("vector").mapInArrow(run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
+    rows = arrow(good.select("vector"), run, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
     found = np.zeros(dim + 1)
     for r in rows:
         found[r.k] = r.x
@@ -94,7 +94,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(size), pa.array(agree)], names=["id", "vector", "asks", "code", "size", "agree"])
 
     kind = named.schema["vector"].dataType.simpleString()
-    indexed = written(good.mapInArrow(index, f"id long, vector {kind}, asks boolean, code binary, size double, agree double"), "ann-index")
+    indexed = written(arrow(good, index, f"id long, vector {kind}, asks boolean, code binary, size double, agree double"), "ann-index")
     folder = scratch(spark, "ann-queries")
     indexed.where("asks").select("id", "vector").write.parquet(folder)
 
@@ -162,7 +162,7 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
             if out_q:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q)), pa.array(np.concatenate(out_v)), pa.array(np.concatenate(out_s))], names=["query_id", "vec_id", "score"])
 
-    partial = indexed.select("id", "vector", "code", "size", "agree").mapInArrow(search, "query_id long, vec_id long, score double")
+    partial = arrow(indexed.select("id", "vector", "code", "size", "agree"), search, "query_id long, vec_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
