@@ -33,19 +33,31 @@ from pyspark.sql import functions as F
 from . import huffman
 from .common import arrow, drop_path, scratch, table, written
 from .tokencount import tokenizer
-from .words import pieces
+from .words import pieces, text_bytes
+from .wordtable import WIDTH, WordTable, lanes
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space that keeps a text from being cut into words: more than one together, and all but newline and tab.
 BESIDE = ("  ", "\n ", " \n", "\t ", " \t", "\n\n", "\n\t", "\t\n")
-ODD_SPACE = re.compile(r"[\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-CACHE, CACHE_CHARS = 1_000_000, 64
+ODD_SPACE = r"[\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Words that a worker remembers: the first ones it meets, so the common ones are among them.
+REMEMBERED = 1 << 19
+#: Bytes of words, and characters of a text, that the library gets at once, about.
+LIBRARY_BYTES, LIBRARY_CHARS = 1 << 16, 1 << 17
+#: A place where the library always cuts: before a space between a printable character and a letter.
+SAFE = re.compile(r"(?<=[!-~])(?= [A-Za-z])")
 #: Ids in a file, about.
 FILE_IDS = 4 << 20
+#: What stands before a word: nothing, a space or a newline.
+FIRST, SPACED, LINE = 0, 1, 2
 
 
-class ChunkEncoder:
-    """Token ids of texts by remembered words with the white space before them."""
+class WordEncoder:
+    """Token ids of texts by remembered words with the white space before them.
+
+    Words are looked up in numpy for a whole batch. New ones go to the library end to end, each behind its space or newline, as
+    such a place is always a border of pre-tokens; how many ids belong to each follows from the ids' byte lengths.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
@@ -54,106 +66,125 @@ class ChunkEncoder:
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for piece, k in vocab.items():
             self.bytes[k] = len(piece)
-        self.specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        # as chunks() tells them: texts that go to the library whole
-        beside = "|".join(["^[ \n]", "\n$", "[\\x00\\x01]", *BESIDE, *map(re.escape, self.specials)])
-        self.whole = beside + r"|[\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.size, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint16)
-
-    def by_library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, chunks: set[str]) -> None:
-        """Encode chunks. Words go to the library end to end, each behind its space or newline, as such a place is always a
-        border of pre-tokens; how many ids belong to each then follows from the ids' byte lengths."""
-        short = [c for c in chunks if len(c) <= CACHE_CHARS]
-        spaced = [c for c in short if c and c[0] not in "\0\n\1"]
-        lines = [c for c in short if c and c[0] in "\0\n" and len(c) > 1]
-        alone = list(chunks.difference(spaced, lines))
-        ids, sizes = [], []
-        for kind, lead in ((spaced, " "), (lines, "")):
-            for k in range(0, len(kind), 4096):
-                part = [lead + c for c in kind[k : k + 4096]]
-                (found,) = self.by_library(["".join(part).replace("\0", "\n")])
-                at = np.searchsorted(np.cumsum(self.bytes[found]), np.cumsum([len(c.encode()) for c in part]))
-                n = np.diff(at + 1, prepend=0)
-                if kind is lines:  # a text's first word has no newline before it
-                    first = np.flatnonzero([c[0] == "\0" for c in part])
-                    found = np.delete(found, (np.cumsum(n) - n)[first])
-                    n[first] -= 1
-                ids.append(found)
-                sizes.append(n)
-        found = self.by_library([c[1:] if c[:1] in ("\0", "\1") else c if c[:1] == "\n" else " " + c for c in alone])
-        ids += found
-        sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-        size = np.concatenate(sizes)
-        base = len(self.size)
-        self.place.update(zip(spaced + lines + alone, range(base, base + len(size)), strict=True))
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, *ids])
-
-    def chunks(self, text: str) -> list[str]:
-        """Keys whose ids, end to end, are the text's: a word after a space is its own key, one after a newline has it in
-        front, the first word a zero; a text that can't be cut is one key behind a one."""
-        if not text:
-            return []
-        if "\0" in text or "\1" in text or text[-1] == "\n" or text[0] in " \n" or any(s in text for s in BESIDE) or ODD_SPACE.search(text) or any(s in text for s in self.specials):
-            return ["\1" + text]
-        out = []
-        lead = "\0"
-        for line in text.split("\n"):
-            words = line.split(" ")
-            words[0] = lead + words[0]
-            lead = "\n"
-            out += words
-        return out
+        specials = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts that go to the library whole.
+        self.whole = "|".join(["^[ \n\t]", "[ \n\t]$", "\\x00", ODD_SPACE, *BESIDE, *map(re.escape, specials)])
+        self.cuts = not any(SAFE.search(s) for s in specials)
+        self.known = WordTable(REMEMBERED)
+        self.size, self.start, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def by_library(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint16)
+
+    def whole_text(self, text: str) -> np.ndarray:
+        """The ids of a text that isn't cut into words; a long one goes in parts, cut where the library cuts anyway."""
+        out, at = [], 0
+        while at < len(text):
+            cut = SAFE.search(text, at + LIBRARY_CHARS) if self.cuts else None
+            end = cut.start() if cut else len(text)
+            out.append(self.by_library(text[at:end]))
+            at = end
+        return np.concatenate(out) if out else np.zeros(0, np.uint16)
+
+    def new_words(self, raw: np.ndarray, start: np.ndarray, size: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, and the number of ids of each."""
+        ids, sizes = [np.zeros(0, np.uint16)], [np.zeros(0, np.int32)]
+        ends = np.cumsum(size + 1)
+        i = 0
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + LIBRARY_BYTES, "right")))
+            n = size[i:j] + 1
+            begin = np.cumsum(n) - n
+            text = raw[np.arange(int(n.sum())) + np.repeat(start[i:j] - 1 - begin, n)]
+            text[begin] = np.where(kind[i:j] == SPACED, 32, 10)
+            found = self.by_library(text.tobytes().decode())
+            last = np.searchsorted(np.cumsum(self.bytes[found]), begin + n)
+            many = np.diff(last + 1, prepend=0)
+            lead = np.flatnonzero(kind[i:j] == FIRST)  # a text's first word has no newline before it
+            found = np.delete(found, (np.cumsum(many) - many)[lead])
+            many[lead] -= 1
+            ids.append(found)
+            sizes.append(many.astype(np.int32))
+            i = j
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that can be cut into words, and the number of ids of each."""
+        raw, offsets = text_bytes(texts)
+        raw = np.concatenate([np.zeros(1, np.uint8), raw, np.zeros(WIDTH, np.uint8)])
+        offsets = offsets + 1
+        inner = raw[1 : offsets[-1]]
+        blank = np.flatnonzero((inner == 32) | (inner == 10)) + 1
+        # a word begins at each text's start and after each blank; the one that starts at a text's place comes first
+        start = np.concatenate([offsets[:-1], blank + 1])
+        end = np.concatenate([blank, offsets[1:]])
+        kind = np.concatenate([np.zeros(len(texts), np.uint8), np.where(raw[blank] == 32, SPACED, LINE).astype(np.uint8)])
+        order, end = np.argsort(start, kind="stable"), np.sort(end, kind="stable")
+        start, kind = start[order], kind[order]
+        size = end - start
+        lane, tag = lanes(raw, start, size), (0x80 | kind << 5 | np.minimum(size, WIDTH + 1)).astype(np.uint8)
+        row, _ = self.known.rows(lane, tag)
+        row = row.astype(np.int64)
+        row[size > WIDTH] = -1
+        sizes, starts, flat = self.size, self.start, self.flat
+        lacking = np.flatnonzero(row < 0)
+        if len(lacking):
+            short = lacking[size[lacking] <= WIDTH]
+            once = WordTable(len(short))
+            at, first = once.rows(lane[:, short], tag[short], add=True)
+            row[short] = len(sizes) + at
+            first = short[first]
+            long = lacking[size[lacking] > WIDTH]
+            named: dict[tuple[int, bytes], int] = {}
+            for i in long:
+                row[i] = len(sizes) + once.n + named.setdefault((int(kind[i]), raw[start[i] : end[i]].tobytes()), len(named))
+            _, at = np.unique(row[long], return_index=True)
+            every = np.concatenate([first, long[at]])
+            ids, many = self.new_words(raw, start[every], size[every], kind[every])
+            room = min(self.known.most - self.known.n, len(first))
+            begin = len(flat) + np.cumsum(many) - many
+            if room:
+                kept, _ = self.known.rows(lane[:, first[:room]], tag[first[:room]], add=True)
+                order = np.argsort(kept)
+                self.start = np.concatenate([starts, begin[:room][order]])
+                self.size, self.flat = np.concatenate([sizes, many[:room][order]]), np.concatenate([flat, ids[: int(many[:room].sum())]])
+            starts = np.concatenate([starts, begin])
+            sizes, flat = np.concatenate([sizes, many]), np.concatenate([flat, ids])
+        per_word = sizes[row]
+        ends = np.cumsum(per_word)
+        place = np.repeat(starts[row] - (ends - per_word), per_word)
+        place += np.arange(len(place))
+        first_word = np.searchsorted(start, offsets[:-1])
+        inside = np.concatenate([[0], ends])[np.concatenate([first_word, [len(start)]])]
+        return flat[place], np.diff(inside)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id, and the number of ids of each."""
-        if len(self.size) > CACHE:
-            self.forget()
         texts = pc.fill_null(texts, "")
-        if pc.any(pc.match_substring_regex(texts, self.whole), min_count=0).as_py():
-            keys = [self.chunks(t) for t in texts.to_pylist()]
-            n = np.fromiter(map(len, keys), np.int64, len(keys))
-            column = pa.array([c for x in keys for c in x], pa.string())
-        else:  # the same keys, cut by Arrow
-            marked = pc.replace_substring(pc.binary_join_element_wise("\0", texts, ""), "\n", " \n")
-            cut = pc.split_pattern(marked, " ")
-            n = pc.list_value_length(cut).to_numpy().astype(np.int64)
-            column = cut.flatten()
-        coded = column.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        new = set(distinct) - self.place.keys()
-        if new:
-            self.learn(new)
-        at = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
-        sizes = self.size[at]
-        ends = np.cumsum(sizes)
-        inside = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
-        per_doc = np.diff(inside)
-        total = int(ends[-1]) if len(ends) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.start[at] - (ends - sizes), sizes)] if total else np.zeros(0, np.uint16)
-        for c in new:
-            if len(c) > CACHE_CHARS:
-                del self.place[c]  # long texts and words aren't worth keeping
-        return np.insert(ids, inside[1:], end), per_doc + 1
-
-
-_encoder: tuple[str, ChunkEncoder] | None = None
-
-
-def encoder_of(path: str) -> ChunkEncoder:
+        odd = pc.match_substring_regex(texts, self.whole).to_numpy(zero_copy_only=False)
+        if not odd.any():
+            ids, n = self.by_words(texts)
+            return np.insert(ids, np.cumsum(n), end), n + 1
+        parts: list[np.ndarray] = [np.zeros(0, np.uint16)] * len(texts)
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            ids, n = self.by_words(texts.take(pa.array(plain)))
+            for i, part in zip(plain, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                parts[i] = part
+        for i in np.flatnonzero(odd):
+            parts[i] = self.whole_text(texts[int(i)].as_py())
+        n = np.fromiter(map(len, parts), np.int64, len(parts))
+        return np.insert(np.concatenate(parts), np.cumsum(n), end), n + 1
+
+
+_encoder: tuple[str, WordEncoder] | None = None
+
+
+def encoder_of(path: str) -> WordEncoder:
     """This worker's encoder."""
     global _encoder
     if _encoder is None or _encoder[0] != path:
-        _encoder = (path, ChunkEncoder(path))
+        _encoder = (path, WordEncoder(path))
     return _encoder[1]
 
 
@@ -164,7 +195,7 @@ def encoded(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_of(path)
         for b in batches:
-            for p in pieces(b, 2, 4 << 20):
+            for p in pieces(b, 2, 2 << 20):
                 ids, n = enc.encode(p.column(2), end)
                 offsets = np.concatenate([[0], np.cumsum(n * 2)])
                 raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
