@@ -10,6 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 LIMIT, BLOCK = 16, 512
+#: Ids that are encoded at once, whole blocks.
+SEGMENT = BLOCK << 9
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -72,19 +74,24 @@ def encode(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[byt
     """The bit stream, most significant bit first, and the first bit of each block of BLOCK ids."""
     if not len(ids):
         return b"", np.zeros(0, np.uint64)
-    n = lengths[ids].astype(np.int64)
-    if not n.all():
-        raise ValueError("an id without a code")
-    ends = np.cumsum(n)
-    at = ends - n
-    word, room = at >> 4, 32 - (at & 15) - n
-    both = codes[ids].astype(np.uint64) << room.astype(np.uint64)
-    out = np.zeros(int(ends[-1] >> 4) + 2, np.uint16)
-    cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    high, low = np.add.reduceat(both >> np.uint64(16), cut), np.add.reduceat(both & np.uint64(0xFFFF), cut)
-    out[word[cut]] |= high.astype(np.uint16)
-    out[word[cut] + 1] |= low.astype(np.uint16)
-    return out.astype(">u2").tobytes()[: int(ends[-1] + 7) // 8], at[::BLOCK].astype(np.uint64)
+    total = int(np.bincount(ids, minlength=len(lengths)) @ lengths.astype(np.int64))
+    out, checkpoints, base = np.zeros((total >> 4) + 2, np.uint16), [], 0
+    for i in range(0, len(ids), SEGMENT):
+        part = ids[i : i + SEGMENT]
+        n = lengths[part].astype(np.int64)
+        if not n.all():
+            raise ValueError("an id without a code")
+        ends = base + np.cumsum(n)
+        at = ends - n
+        word, room = at >> 4, 32 - (at & 15) - n
+        both = codes[part].astype(np.uint64) << room.astype(np.uint64)
+        cut = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        high, low = np.add.reduceat(both >> np.uint64(16), cut), np.add.reduceat(both & np.uint64(0xFFFF), cut)
+        out[word[cut]] |= high.astype(np.uint16)
+        out[word[cut] + 1] |= low.astype(np.uint16)
+        checkpoints.append(at[::BLOCK].astype(np.uint64))
+        base = int(ends[-1])
+    return out.astype(">u2").tobytes()[: (total + 7) // 8], np.concatenate(checkpoints)
 
 
 def decode(stream: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:

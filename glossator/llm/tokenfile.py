@@ -3,7 +3,7 @@
 A run is a folder of the shared file system:
 
 * ``codebook``: ``GLHC``, version, limit, the number of symbols, then a code length (one byte) for each;
-* ``part-NNNNN.glt``: ``GLTK``, version, counts of documents, ids and blocks, then int64 document keys, uint8 null marks of
+* ``part-NNNNN-NNNNN.glt``: ``GLTK``, version, counts of documents, ids and blocks, then int64 document keys, uint8 null marks of
   the keys, int64 ids per document, uint64 bit offsets of the blocks, the length of the bit stream, the stream.
 
 Files follow each other in ascending document key (null first; equal keys by a hash of the text), and so do the documents
@@ -46,8 +46,8 @@ REMEMBERED = 1 << 19
 LIBRARY_BYTES, LIBRARY_CHARS = 1 << 16, 1 << 17
 #: A place where the library always cuts: before a space between a printable character and a letter.
 SAFE = re.compile(r"(?<=[!-~])(?= [A-Za-z])")
-#: Ids in a file, about.
-FILE_IDS = 4 << 20
+#: Ids in a file, about; tasks that write files, and that read them, at most.
+FILE_IDS, MOST_PARTS, MOST_READERS = 4 << 20, 8192, 65536
 #: What stands before a word: nothing, a space or a newline.
 FIRST, SPACED, LINE = 0, 1, 2
 
@@ -272,7 +272,11 @@ def unpack_part(data: bytes, decoder: tuple[np.ndarray, np.ndarray]) -> tuple[np
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Write docs' token files under folder; returns the manifest (part, path, docs, ids), itself a written table."""
+    """Write docs' token files under folder; returns the manifest (part, file, path, docs, ids), itself a written table.
+
+    Ranges of keys are tasks, MOST_PARTS of them at most, as what the driver samples for their borders grows with their number;
+    a task writes as many files as its range needs, one after another.
+    """
     spark = docs.sparkSession
     symbols = max(tokenizer(path).get_vocab_size(with_added_tokens=True), end + 1)
     if symbols > 1 << 16:
@@ -285,27 +289,33 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int, key: str = "
     codes = huffman.canonical(lengths)
     book = spark.sparkContext.broadcast((lengths, codes))
     _put(f"{folder}/codebook", pack_codebook(lengths))
-    parts = int(max(1, -(-int(counts.sum()) // FILE_IDS)))
+    parts = int(min(MOST_PARTS, max(1, -(-int(counts.sum()) // FILE_IDS))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        keys, nulls, sizes, ids = [], [], [], []
+        part, file, held, size = TaskContext.get().partitionId(), 0, [], 0
         for b in batches:
-            keys.append(b.column(0).fill_null(0).to_numpy())
-            nulls.append(np.asarray(b.column(0).is_null()))
-            sizes.append(b.column(1).to_numpy())
-            ids += [np.frombuffer(x.as_buffer(), "<u2") for x in b.column(2)]
-        if not keys or not sum(map(len, keys)):
-            return
-        name = f"{folder}/part-{part:05d}.glt"
-        whole = np.concatenate(ids)
-        _put(name, pack_part(np.concatenate(keys), np.concatenate(nulls), np.concatenate(sizes), whole, *book.value))
-        yield pa.RecordBatch.from_pydict({"part": [part], "path": [name], "docs": [sum(map(len, keys))], "ids": [len(whole)]})
+            for p in pieces(b, 2, FILE_IDS // 2):
+                held.append(p)
+                size += p.column(2).nbytes // 2
+                if size >= FILE_IDS:
+                    yield put(part, file, held)
+                    file, held, size = file + 1, [], 0
+        if held:
+            yield put(part, file, held)
+
+    def put(part: int, file: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        keys = np.concatenate([b.column(0).fill_null(0).to_numpy() for b in held])
+        nulls = np.concatenate([np.asarray(b.column(0).is_null()) for b in held])
+        sizes = np.concatenate([b.column(1).to_numpy() for b in held])
+        ids = np.concatenate([np.frombuffer(x.as_buffer(), "<u2") for b in held for x in b.column(2)])
+        name = f"{folder}/part-{part:05d}-{file:05d}.glt"
+        _put(name, pack_part(keys, nulls, sizes, ids, *book.value))
+        return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "path": [name], "docs": [len(keys)], "ids": [len(ids)]})
 
     ordered = coded.repartitionByRange(parts, F.col("key").asc_nulls_first(), F.col("tie")).sortWithinPartitions(F.col("key").asc_nulls_first(), "tie")
-    manifest = written(arrow(ordered.select("key", "n", "ids"), run, "part long, path string, docs long, ids long"), "token-manifest")
+    manifest = written(arrow(ordered.select("key", "n", "ids"), run, "part long, file long, path string, docs long, ids long"), "token-manifest")
     drop_path(spark, kept)
     return manifest
 
@@ -313,11 +323,14 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end: int, key: str = "
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """From the files alone, per document: key, start, n_tokens, ids (binary, little-endian uint32).
 
-    start counts the ids of all documents before it; files' own starts are running sums over the manifest, a row a file.
+    start counts the ids of all documents before it: running sums over the manifest, first over its parts, whose number is
+    bounded, then over the files of each. Every file is a task's, however few bytes the manifest has.
     """
-    before = F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    files = manifest.withColumn("base", F.coalesce(before, F.lit(0)))
-    files = files.repartition("path").select("path", "base")
+    earlier = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("ids").alias("ids")).select("part", earlier.alias("_parts"))
+    inside = F.sum("ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+    files = manifest.withColumn("_files", F.coalesce(inside, F.lit(0))).join(F.broadcast(parts), "part")  # MOST_PARTS rows at most
+    files = files.repartition(max(1, min(manifest.count(), MOST_READERS)), "path").select("path", (F.col("_parts") + F.col("_files")).alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = None

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -56,6 +57,35 @@ def test_files(spark, sf, odd, name, monkeypatch):
     assert [g[1] for g in got] == np.cumsum([0] + [g[2] for g in got])[:-1].tolist()
 
 
+def test_several_files_a_task(spark, sf, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FILE_IDS", 40000)
+    docs, path = spark.read.parquet(f"{sf}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")
+    many = tokenfile.token_output(docs, path).collect()
+    monkeypatch.setattr(tokenfile, "MOST_PARTS", 3)
+    assert sorted(tokenfile.token_output(docs, path).collect()) == sorted(many)
+
+
+WORDS = ["a", "the", "The", " ", " ", "  ", "\n", "\t", "'s", "'", "é", "中", "文字", "\U0001f680", "<|endoftext|>", "\x00", "\x1f", "\u3000", "\r\n", "12", "...", "supercalifragilistic", "x" * 30, "word"]
+
+
+@pytest.fixture(scope="module")
+def encoder():
+    mp = pytest.MonkeyPatch()
+    mp.setattr(tokenfile, "REMEMBERED", 300)  # so that tables fill up, and joins are many
+    mp.setattr(tokenfile, "LIBRARY_BYTES", 100)
+    mp.setattr(tokenfile, "LIBRARY_CHARS", 20)
+    yield tokenfile.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    mp.undo()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=40), st.lists(st.sampled_from(WORDS), max_size=30).map("".join)), min_size=1, max_size=12))
+def test_words_are_the_librarys(encoder, texts):
+    ids, n = encoder.encode(pa.array(texts, pa.string()), 2)
+    want = [e.ids + [2] for e in encoder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+
+
 def test_files_empty(spark, odd):
     assert tokenfile.token_output(odd.limit(0), public_tokenizers.path("byte_bpe_50k.json")).count() == 0
 
