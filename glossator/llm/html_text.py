@@ -1,15 +1,17 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, threshold clusters.
 
 The standard library's parser streams a page's events. Block tags cut it into lines; each line has its text, the tags met
-since the last one and the elements it lies in. Lines in elements that never hold the article (menus, page headers and
-footers, sidebars, notices, adverts, forms, scripts, comments and what names itself so) have ratio 0. The ratios of text to
-tags are smoothed along the page by a Gaussian; lines above the threshold form clusters. The content region is the
-article or main element around nearly all text of the clusters, else the innermost element that holds all of it, so the short
-lines between its long ones belong to it.
+since the last one and the elements it lies in. A line's ratio is the logarithm of its text's length over its tags, so one huge
+paragraph doesn't hide the others. Lines in elements that never hold the article (menus, page headers and footers, sidebars,
+forms, scripts, hidden ones) have ratio 0. What names itself an advert, a notice, comments or the like has its ratio lowered
+``LOWERED`` times, but for a name that an article may have too (``WEAK``) on the box of most of the page's text. The ratios
+are smoothed along the page by a Gaussian, which doesn't lift the lines of a lowered element by their neighbours; lines above
+the threshold form clusters. The content region is the innermost element that holds all of them, and the headings before it.
+Its short lines between the long ones belong to it, save runs of link lines that are below the threshold alone.
 
 Defined cases: null, empty and text-free pages give an empty text; broken markup is read as far as it goes (unclosed elements
-end with the page); if the names of elements would exclude all text, names are ignored; very long pages are read whole;
-repeated rows each get a row; other columns are not read.
+end with the page); if names lower all text, they lower none more than another; very long pages are read whole; repeated rows
+each get a row; other columns are not read.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import math
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,63 +35,103 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math q ruby rp rt s samp small span strike strong sub sup time tt u var wbr img".split())
 NEVER = frozenset("head title script style noscript template nav aside footer form button select option textarea input iframe svg canvas object embed audio video dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-HINT = re.compile(
-    r"(?:^|\s)(?:ad|ads|advert\w*|adsense|adslot|banner|sponsor\w*|promo\w*|side-?bar|widget|menu|nav|navbar|navigation|bread-?crumbs?|footer|header|masthead|"
-    r"cookies?|consent|gdpr|notice|popup|pop-up|modal|overlay|newsletter|subscri\w+|sign-?up|sharing|share|social|related|recommend\w*|comments?|disqus|respond|replies|reply|"
-    r"login|search|toolbar|pagination|pager|copyright|legal|skip-?link)(?:[-_]\w[\w-]*)?(?=\s|$)"
+#: Parts of names: of what is hardly ever an article; the same for the first part of a name; of what may be one.
+STRONG = re.compile(
+    r"(?:ads?|advert\w*|adsense|adslot|adbox|sponsor\w*|promo\w*|sidebar|navbar|navigation|nav|menu|breadcrumbs?|cookies?|consent|gdpr|popup|modal|newsletter|subscri\w+|signup|"
+    r"comments?|commentlist|disqus|respond|responses|replies|reply|pagination|pager|toolbar|footer|masthead|skiplink|login)"
 )
+STRONG_FIRST = re.compile(r"(?:header|banner|overlay|search|copyright)")
+WEAK = re.compile(r"(?:legal|notice|share|sharing|social|related|recommend\w*|widget|links)")
+PARTS = re.compile(r"[^\W_]+")
 #: Elements that a region can be.
 BOXES = frozenset("html body main article section div td center".split())
+#: What a tag ends, unless one of the others is open within it.
+_LIST, _CELL, _TERM = ({"ul", "ol", "div"}), ({"table"}), ({"dl", "div"})
+ENDS = {"li": ({"li"}, _LIST), "td": ({"td", "th"}, _CELL), "th": ({"td", "th"}, _CELL), "tr": ({"td", "th", "tr"}, _CELL), "dt": ({"dt", "dd"}, _TERM), "dd": ({"dt", "dd"}, _TERM)}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: What names say isn't heeded on these.
 FRAME = frozenset("html body main article".split())
 SIGMA, RADIUS = 1.0, 2
-#: Of the mean smoothed ratio; and the share of cluster text that lets an article be the region.
-THRESHOLD, HOLDS = 0.5, 0.9
+#: Of the mean smoothed ratio; by what a name divides a ratio; share of a line's text in links, and lines together, of a menu.
+THRESHOLD, LOWERED, LINKED, RUN = 0.5, 1000, 0.8, 3
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    path: tuple[int, ...]  # the boxes it lies in
+    out: bool  # in an element that never holds the article
+    strong: int  # the outermost element with such a name that it lies in, or -1
+    weak: int
+    links: int  # characters in links
+    heading: bool
+
+
+def named(value: str) -> tuple[bool, bool]:
+    """Whether class and id values say strongly, or weakly, that an element is not the article."""
+    strong = weak = False
+    for name in value.replace("-bar", "bar").replace("-up", "up").replace("bread-", "bread").replace("skip-", "skip").split():
+        parts = [x.lower() for x in PARTS.findall(name)]
+        strong |= any(STRONG.fullmatch(x) for x in parts) or bool(parts and STRONG_FIRST.fullmatch(parts[0]))
+        weak |= any(WEAK.fullmatch(x) for x in parts)
+    return strong, weak
 
 
 class Lines(HTMLParser):
-    """Collects lines: text, tags, path of element numbers, excluded."""
+    """Collects a page's lines."""
 
-    def __init__(self, hints: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.hints = hints
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
+        self.lines: list[Line] = []
         self.kind: list[str] = []  # of each element, by number
-        self.open: list[tuple[str, int, bool]] = []
-        self.tags, self.text = 0, []
+        self.open: list[tuple[str, int, bool, int, int]] = []  # tag, number, out, strong, weak
+        self.tags, self.text, self.links, self.linked = 0, [], 0, 0
 
     def end_line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             self.text = []
             if text:
-                self.lines.append((text, self.tags, tuple(n for t, n, _ in self.open if t in BOXES), bool(self.open) and self.open[-1][2]))
+                _, _, out, strong, weak = self.open[-1] if self.open else ("", -1, False, -1, -1)
+                path = tuple(n for t, n, *_ in self.open if t in BOXES)
+                self.lines.append(Line(text, self.tags, path, out, strong, weak, self.links, any(t in HEADINGS for t, *_ in self.open)))
                 self.tags = 0
+            self.links = 0
 
-    def excluded(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in NEVER or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open)):
+    def excluded(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        if tag in NEVER or (tag == "header" and not any(t in ("article", "main") for t, *_ in self.open)):
             return True
         if not attrs or tag in FRAME:
             return False
-        a = dict(attrs)
-        if "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower():
+        if "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
             return True
-        if (a.get("role") or "").lower() in ROLES:
-            return True
-        named = f"{a.get('class') or ''} {a.get('id') or ''}"
-        return self.hints and named != " " and HINT.search(named.lower()) is not None
+        return (attrs.get("role") or "").lower() in ROLES
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        self.linked += tag == "a"
         if tag not in INLINE:
             self.end_line()
-            # a block ends an open paragraph, an item its forerunner
-            if self.open and (self.open[-1][0] == "p" or (tag == "li" and self.open[-1][0] == "li")):
+            # a block ends an open paragraph, an item or a cell its forerunner
+            if self.open and self.open[-1][0] == "p":
                 self.open.pop()
+            ends, within = ENDS.get(tag, ((), ()))
+            for k in range(len(self.open) - 1, -1, -1) if ends else ():
+                if self.open[k][0] in within:
+                    break
+                if self.open[k][0] in ends:
+                    del self.open[k:]
+                    if tag != "tr":
+                        break
         if tag not in VOID:
-            out = (bool(self.open) and self.open[-1][2]) or self.excluded(tag, attrs)
+            _, _, out, strong, weak = self.open[-1] if self.open else ("", -1, False, -1, -1)
+            a = dict(attrs)
+            out = out or self.excluded(tag, a)
+            if a and not out and tag not in FRAME and (strong < 0 or weak < 0):
+                by_name = named(f"{a.get('class') or ''} {a.get('id') or ''}")
+                strong, weak = (len(self.kind) if yes and was < 0 else was for yes, was in zip(by_name, (strong, weak)))
             if tag not in INLINE or out:
-                self.open.append((tag, len(self.kind), out))
+                self.open.append((tag, len(self.kind), out, strong, weak))
                 self.kind.append(tag)
 
     def handle_startendtag(self, tag, attrs):
@@ -98,6 +141,8 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self.tags += 1
+        if tag == "a":
+            self.linked = 0
         if tag not in INLINE:
             self.end_line()
         for k in range(len(self.open) - 1, -1, -1):
@@ -109,6 +154,8 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         self.text.append(data)
+        if self.linked:
+            self.links += len(data)
 
     def unknown_decl(self, data):
         pass
@@ -133,45 +180,80 @@ def smoothed(ratios: list[float]) -> list[float]:
     return out
 
 
+def lowered(page: Lines) -> list[int]:
+    """Per line the element whose name lowers it, or -1.
+
+    A weak name isn't heeded on the box of more than half of the text that isn't out or strongly named, unless an article or
+    main element has other text of the page.
+    """
+    held: dict[int, int] = {}
+    framed = total = 0
+    inside: dict[int, int] = {}
+    for line in page.lines:
+        if not line.out and line.strong < 0:
+            total += len(line.text)
+            frame = any(page.kind[n] in ("article", "main") for n in line.path)
+            framed += frame
+            if line.weak >= 0:
+                held[line.weak] = held.get(line.weak, 0) + len(line.text)
+                inside[line.weak] = inside.get(line.weak, 0) + frame
+    fine = {n for n, size in held.items() if 2 * size > total and inside[n] == framed}
+    return [line.strong if line.strong >= 0 else -1 if line.weak in fine else line.weak for line in page.lines]
+
+
+def scored(page: Lines) -> tuple[list[float], float, list[int]]:
+    """Smoothed ratios, the threshold, and what lowers each line."""
+    low = lowered(page)
+    ratios = [0.0 if x.out else math.log1p(len(x.text) / max(1, x.tags) / (LOWERED if k >= 0 else 1)) for x, k in zip(page.lines, low)]
+    smooth = smoothed(ratios)
+    i = 0
+    while i < len(low):  # a lowered element is smoothed by itself
+        j = i + 1
+        while j < len(low) and low[j] == low[i]:
+            j += 1
+        if low[i] >= 0:
+            smooth[i:j] = smoothed(ratios[i:j])
+        i = j
+    counted = [s for s, x, k in zip(smooth, page.lines, low) if not x.out and k < 0] or [s for s, x in zip(smooth, page.lines) if not x.out]
+    return smooth, THRESHOLD * sum(counted) / max(1, len(counted)), low
+
+
 def region(page: Lines) -> list[str]:
     """The texts of the content region's lines."""
     lines = page.lines
-    ratios = [0.0 if out else len(text) / max(1, tags) for text, tags, _, out in lines]
-    smooth = smoothed(ratios)
-    mean = sum(smooth) / len(smooth)
-    chosen = [i for i, s in enumerate(smooth) if not lines[i][3] and s >= THRESHOLD * mean]
-    held: dict[int, int] = {}
-    depth: dict[int, int] = {}
+    smooth, least, low = scored(page)
+    chosen = [i for i, s in enumerate(smooth) if not lines[i].out and s >= least]
+    if not chosen:
+        return []
+    path = list(lines[chosen[0]].path)
     for i in chosen:
-        for d, element in enumerate(lines[i][2]):
-            held[element] = held.get(element, 0) + len(lines[i][0])
-            depth[element] = d
-    total = sum(len(lines[i][0]) for i in chosen)
-    inner = lambda share: max((e for e, n in held.items() if n >= share * total), key=depth.__getitem__, default=None)
-    to = lambda e: next(lines[i][2][: lines[i][2].index(e) + 1] for i in chosen if e in lines[i][2])
-    near, best = inner(HOLDS), inner(1)
-    whole = [e for e in to(near) if page.kind[e] in ("article", "main")] if near is not None else []
-    if whole:  # an article is taken whole, and with it what the clusters have beside it in the outermost one
-        best = next(e for e in reversed(whole) if held[e] == held[whole[0]])
-    elif best is None:  # no element holds the clusters: whatever isn't excluded
-        return [text for text, *_, out in lines if not out]
-    else:  # a box with a single line is but a paragraph of its parent
-        path = to(best)
-        while len(path) > 1 and sum(best in p and not out for _, _, p, out in lines) < 2:
-            path = path[:-1]
-            best = path[-1]
-    return [text for text, _, p, out in lines if not out and best in p]
+        path = path[: next((k for k, (a, b) in enumerate(zip(path, lines[i].path)) if a != b), min(len(path), len(lines[i].path)))]
+    picked = set(chosen)
+    plain = [not x.out and (low[i] < 0 or i in picked) for i, x in enumerate(lines)]
+    at = len(path)
+    while at > 1:  # a box with a single line is but a paragraph of its parent; headings belong to what they stand before
+        here = [i for i, x in enumerate(lines) if plain[i] and path[at - 1] in x.path]
+        more = [i for i, x in enumerate(lines) if plain[i] and path[at - 2] in x.path and path[at - 1] not in x.path]
+        if len(here) > 1 and not (more and all(lines[i].heading and i < here[0] for i in more)) and page.kind[path[at - 1]] != "body":
+            if not any(page.kind[n] in ("article", "main") for n in path[: at - 1]):
+                break
+        at -= 1
+    inside = [i for i, x in enumerate(lines) if plain[i] and (not path or path[max(0, at - 1)] in x.path)]
+    menu: set[int] = set()
+    run: list[int] = []
+    for i in [*inside, -1]:
+        if i >= 0 and lines[i].links >= LINKED * len(lines[i].text) and math.log1p(len(lines[i].text) / max(1, lines[i].tags)) < least:
+            run.append(i)
+            continue
+        if len(run) >= RUN:
+            menu.update(run)
+        run = []
+    return [lines[i].text for i in inside if i not in menu]
 
 
 def main_text(html: str | None) -> str:
     """The page's main text in one line."""
-    if not html:
-        return ""
-    for hints in (True, False):
-        page = Lines(hints).read(html)
-        if any(not out for *_, out in page.lines):
-            return " ".join(region(page))
-    return ""
+    return " ".join(region(Lines().read(html))) if html else ""
 
 
 def extract(pages: DataFrame, html: Column, keep: tuple[str, ...]) -> DataFrame:

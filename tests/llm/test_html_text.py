@@ -1,6 +1,7 @@
 """Main texts against pages whose article is known."""
 
 import html
+import math
 import re
 
 import pytest
@@ -39,6 +40,47 @@ def test_clusters_outside_the_largest_box(outer, inner):
     assert main_text(page) == " ".join(f"Head {LEAD} {'body words ' * 1000} {END}".split())
 
 
+ART = "".join(f"<p>{'the story goes on ' * n}</p>" for n in (9, 30, 2, 14, 25))
+TEXT = " ".join("the story goes on" for _ in range(80))
+SIDE = "<p>" + "something else entirely " * 12 + "</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class='legal-analysis'>{ART}</div><div class=sidebar>side box x</div></body>",
+    f"<body><div class='related-work'>{ART}</div><div class='related'>{SIDE}</div></body>",
+    f"<body><article>{ART}<div class='user-comments'>{SIDE * 9}</div></article></body>",
+    f"<body><div>{ART}</div><section id='reader-responses'>{SIDE * 4}</section></body>",
+    f"<body><div>{ART}</div><div class='story-related-links'>{SIDE}</div></body>",
+    f"<body><div class=wrap><div class='promo box'>{SIDE}</div>{ART}</div></body>",
+    f"<body><div><a href=a>Home</a><br><a href=b>News</a><br><a href=c>Contact</a><br><a href=d>Imprint</a></div><div>{ART}</div></body>",
+    f"<body><div class=page><div id=top-menu><ul><li><a>x</a><li><a>y</a></ul></div><div><div>{ART}</div></div></div><div class=footer-legal>(c) us</div></body>",
+    f"<body><article>{ART}</article><div class='notice'>{SIDE * 60}</div></body>",
+    f"<body><table><tr><td class=nav><a>a</a><td>{ART}<td class=ads>{SIDE}</table></body>",
+    f"<body><main><div class=header-ad>{SIDE}</div><section>{ART}</section></main><aside>{SIDE}</aside></body>",
+    f"<body><div class='cookie-consent-bar'>{SIDE}</div><div class='entry-content'>{ART}</div><div class='newsletter-signup'>{SIDE}</div></body>",
+])
+def test_clusters_decide(page):
+    assert main_text(page) == TEXT
+
+
+def test_headings_and_short_lines_stay():
+    page = f"<body><div id=nav><a>x</a></div><div class=post><div class=post-header><h1>Title here</h1></div><div class=post-body><p>Short.</p>{ART}<ul><li>one<li>two</ul></div></div><div class=share>tell them</div></body>"
+    assert main_text(page) == f"Title here Short. {TEXT} one two"
+
+
+def test_scores_are_those_of_the_method():
+    """Ratio, smoothing and threshold, written out plainly, on lines whose tags are counted by hand."""
+    page = html_text.Lines().read("<body><nav><p>menu</nav><div><h2>Head</h2><p>" + "x" * 300 + "</p><p>a <b>b</b> <i>c</i></p></div><div class=ad>" + "y" * 40 + "</div></body>")
+    assert [(x.text[:4], x.tags, x.out) for x in page.lines] == [("menu", 4, True), ("Head", 3, False), ("xxxx", 2, False), ("a b ", 6, False), ("yyyy", 3, False)]
+    ratio = [0, math.log(1 + 4 / 3), math.log(1 + 300 / 2), math.log(1 + 5 / 6), math.log(1 + 40 / 3 / 1000)]
+    w = [math.exp(-d * d / 2) for d in range(3)]
+    smooth = [sum(ratio[j] * w[abs(i - j)] for j in range(5) if abs(i - j) < 3) / sum(w[abs(i - j)] for j in range(5) if abs(i - j) < 3) for i in range(5)]
+    smooth[4] = ratio[4]  # alone in its element
+    got, least, low = html_text.scored(page)
+    assert got == pytest.approx(smooth) and least == pytest.approx(sum(smooth[1:4]) / 3 / 2) and [k >= 0 for k in low] == [False] * 4 + [True]
+    assert html_text.region(page) == ["Head", "x" * 300, "a b c"]
+
+
 def plain(page):
     """The article of the driver's pages, which have no other markup in it than p, br, h1 and b."""
     body = re.search(r"<article>(.*?)(</article>|$)", page, re.S)[1]
