@@ -1,25 +1,28 @@
 """Ranking of passages against queries.
 
-Passages have (rowid, id, section_number, embedding), queries (qid, segment, vec). Scoring a bounded set of query segments
-against all passages is a join that broadcasts the queries, whose number is checked; beyond it, they are scored block by block.
+Passages have (rowid, id, section_number, embedding), queries (qid, segment, vec). A stated set of query segments goes against
+all passages in blocks, by matrix products over Arrow batches; nothing but what may be returned leaves a task.
 Every order ends with rowid, so ties are settled alike everywhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
+from pyspark.sql.types import StructType
 
-from ..functions.vectors import cosine, dequantized, dot, quantized8, unit
+from ..functions.vectors import cosine, dequantized, quantized8, unit
 
 #: Added below a threshold, and below the last score kept, when scores are approximate.
 MARGIN = 0.02
-#: Query segments that may be broadcast.
-MOST_QUERIES = 10_000
+#: Query segments in a block; pairs scored at once; error that a matrix product may have beside the sum in order.
+MOST_QUERIES, PAIRS, SLACK = 10_000, 1 << 21, 1e-9
 
 
 def usable(passages: DataFrame, dim: int, vec: str = "embedding") -> DataFrame:
@@ -32,19 +35,78 @@ def restricted(passages: DataFrame, keys: DataFrame, key: str = "id") -> DataFra
     return passages.join(keys.select(F.col(key).alias("_key")).distinct(), F.col(key) == F.col("_key"), "left_semi")
 
 
-def bounded(queries: DataFrame) -> DataFrame:
-    """queries for a broadcast, once they are counted."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} query segments: use scan()")
-    return F.broadcast(queries)
+def blocks(queries: DataFrame, names: list[str]) -> Iterator[list[Row]]:
+    """The rows of a stated set of queries, MOST_QUERIES at a time; the driver holds one block."""
+    held: list[Row] = []
+    for row in queries.select(*names).toLocalIterator():
+        held.append(row)
+        if len(held) == MOST_QUERIES:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
-def scored(passages: DataFrame, queries: DataFrame) -> DataFrame:
-    """passages x queries with similarity, the exact cosine.
+def _matrix(vectors: list[list[float]]) -> np.ndarray:
+    return np.array(vectors, np.float64).reshape(len(vectors), -1)
 
-    queries are counted first: they are broadcast up to MOST_QUERIES rows and refused beyond, where scan() is the way.
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    n = np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+    return np.where(n, n, 1)
+
+
+def scored(passages: DataFrame, queries: DataFrame, least: float | None = None, best: int | None = None) -> DataFrame:
+    """passages (without their vectors) x queries with similarity, the exact cosine; of least or more, and only each query's
+    best in every batch of passages, if wanted. Passages with a vector of another length than the queries' take no part.
+
+    Matrix products over Arrow batches find the pairs; what is left is summed in order, so equal vectors score alike. Queries
+    come in blocks, each sent to the executors once.
     """
-    return passages.join(bounded(queries), F.lit(True)).withColumn("similarity", cosine(F.col("embedding"), F.col("vec")))
+    names = [c for c in passages.columns if c != "embedding"]
+    kinds = {c: queries.schema[c].dataType for c in ("qid", "segment")}
+    schema = StructType([passages.schema[c] for c in names] + [queries.schema["qid"], queries.schema["segment"]]).add("similarity", "double")
+    at_row = names.index("rowid") if best else -1
+
+    def of(block: list[Row]) -> DataFrame:
+        vectors = _matrix([r.vec for r in block])
+        asked = [pa.array([r[c] for r in block], to_arrow_type(kinds[c])) for c in kinds]
+        sent = passages.sparkSession.sparkContext.broadcast((vectors, vectors / _norms(vectors)[:, None]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            q, q_unit = sent.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                v = b.column(len(names)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                norm = _norms(v)
+                step = max(1, PAIRS // b.num_rows)
+                for k in range(0, len(q), step):
+                    near = (v / norm[:, None]) @ q_unit[k : k + step].T
+                    fine = np.ones(near.shape, bool) if least is None else near >= least - SLACK
+                    if best and b.num_rows > best:
+                        fine &= near >= np.partition(near, -best, axis=0)[-best] - SLACK
+                    i, j = np.nonzero(fine)
+                    exact = np.empty(len(i))
+                    for n in range(0, len(i), 1 << 14):
+                        x, y = v[i[n : n + (1 << 14)]], q[k + j[n : n + (1 << 14)]]
+                        exact[n : n + (1 << 14)] = np.cumsum(x * y, axis=1)[:, -1] / (norm[i[n : n + (1 << 14)]] * _norms(y))
+                    keep = np.ones(len(i), bool) if least is None else exact >= least
+                    i, j, exact = i[keep], k + j[keep], exact[keep]
+                    if best:
+                        ids = b.column(at_row).to_numpy(zero_copy_only=False)[i]
+                        order = np.lexsort((ids, -exact, j))
+                        start = np.concatenate([[0], np.flatnonzero(np.diff(j[order])) + 1])
+                        rank = np.arange(len(order)) - np.repeat(start, np.diff(np.concatenate([start, [len(order)]]))) if len(order) else order
+                        order = order[rank < best]
+                        i, j, exact = i[order], j[order], exact[order]
+                    rows, whose = pa.array(i), pa.array(j)
+                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in range(len(names))), *(x.take(whose) for x in asked), pa.array(exact)], schema=to_arrow_schema(schema))
+
+        return usable(passages, vectors.shape[1]).select(*names, "embedding").mapInArrow(run, schema)
+
+    out = [of(b) for b in blocks(queries, ["qid", "segment", "vec"])]
+    return reduce(DataFrame.unionByName, out) if out else passages.sparkSession.createDataFrame([], schema)
 
 
 def scan(passages: DataFrame, queries: list[tuple[int, int, list[float]]], least: float, block: int = 1024, approximate: bool = False) -> DataFrame:
@@ -113,22 +175,26 @@ def rank(passages: DataFrame, queries: DataFrame, least: float, limit: int, keys
     """Search: score, pool segments, threshold, collapse, limit. cut_first: collapse after the limit, as if rows were cut early."""
     if keys is not None:
         passages = restricted(passages, keys)
-    rows = pooled(scored(passages, queries).where(F.col("similarity") >= least).drop("embedding", "vec"))
+    rows = pooled(scored(passages, queries, least))
     if cut_first:
         rows = top(rows, limit, ["qid"]).drop("rank")
     return top(collapsed(rows), limit, ["qid"])
 
 
-def two_phase(passages: DataFrame, queries: list[tuple[int, int, list[float]]], least: float, limit: int) -> DataFrame:
-    """rank() by way of an approximate scan: candidates a margin below the threshold and below the limit's score, then exact."""
+def two_phase(passages: DataFrame, queries: list[tuple[int, int, list[float]]], least: float, limit: int, collapse: bool = True) -> DataFrame:
+    """rank() by way of an approximate scan: candidates a margin below the threshold and below the limit's score, then exact.
+
+    The cut comes before identical results collapse, as in an index, so fewer than limit rows may be left.
+    """
     near = scan(passages, queries, least - MARGIN, approximate=True)
     best = near.groupBy("qid", "rowid").agg(F.max("similarity").alias("similarity"))
     kth = top(best, limit, ["qid"]).groupBy("qid").agg(F.when(F.count(F.lit(1)) >= limit, F.min("similarity")).alias("kth"))
     wanted = best.join(kth, "qid").where(F.col("kth").isNull() | (F.col("similarity") >= F.col("kth") - MARGIN)).select("qid", "rowid")
     q = passages.sparkSession.createDataFrame(queries, "qid long, segment int, vec array<double>")
-    exact = wanted.join(passages, "rowid").join(F.broadcast(q), "qid").withColumn("similarity", cosine(F.col("embedding"), F.col("vec")))
+    q = F.broadcast(q) if len(queries) <= MOST_QUERIES else q
+    exact = wanted.join(passages, "rowid").join(q, "qid").withColumn("similarity", cosine(F.col("embedding"), F.col("vec")))
     rows = pooled(exact.where(F.col("similarity") >= least).drop("embedding", "vec"))
-    return top(rows, limit, ["qid"])
+    return top(collapsed(rows) if collapse else rows, limit, ["qid"])
 
 
 def centroids(passages: DataFrame) -> DataFrame:
@@ -146,12 +212,47 @@ def approximate_centroids(passages: DataFrame) -> DataFrame:
 
 def similar_documents(passages: DataFrame, sources: DataFrame, limit: int = 20, missing: DataFrame | None = None) -> DataFrame:
     """(source, id, best, mean, rowid, rank): documents nearest to each source's centroid, itself left out before the limit and
-    missing ones after it. sources: (id, centroid)."""
-    s = sources.select(F.col("id").alias("source"), "centroid")
-    hits = passages.join(bounded(s), F.col("id") != F.col("source")).withColumn("score", dot(unit(F.col("embedding")), F.col("centroid")))
-    best = F.max(F.struct("score", (-F.col("rowid")).alias("o"))).alias("b")
-    docs = hits.groupBy("source", "id").agg(best, F.avg("score").alias("mean"))
-    docs = docs.select("source", "id", F.col("b.score").alias("best"), "mean", (-F.col("b.o")).alias("rowid"))
+    missing ones after it. sources: (id, centroid).
+
+    A batch of passages gives one row for each source and document that it holds."""
+    kind = passages.schema["id"].dataType.simpleString()
+    schema = f"source {sources.schema['id'].dataType.simpleString()}, id {kind}, best double, rowid long, total double, n long"
+
+    def of(block: list[Row]) -> DataFrame:
+        centers = _matrix([r.centroid for r in block])
+        names = pa.array([r.id for r in block])
+        sent = passages.sparkSession.sparkContext.broadcast(centers)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                v = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                doc, rowid = b.column(0).dictionary_encode(), b.column(1).to_numpy()
+                code = doc.indices.to_numpy()
+                order = np.lexsort((rowid, code))
+                first = np.flatnonzero(np.concatenate([[True], np.diff(code[order]) != 0]))
+                size = np.diff(np.concatenate([first, [len(order)]]))
+                v, rowid, group = (v / _norms(v)[:, None])[order], rowid[order], np.repeat(np.arange(len(first)), size)
+                step = max(1, PAIRS // b.num_rows)
+                for k in range(0, len(sent.value), step):
+                    score = v @ sent.value[k : k + step].T
+                    even = np.round(score, 12)  # so that equal vectors tie
+                    best = np.maximum.reduceat(even, first)
+                    row = np.minimum.reduceat(np.where(even == best[group], rowid[:, None], np.iinfo(np.int64).max), first)
+                    total = np.add.reduceat(score, first)
+                    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(first)), np.arange(score.shape[1]), indexing="ij"))
+                    of_doc = doc.dictionary.take(pa.array(code[order][first][i]))
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(k + j)), of_doc, pa.array(best[i, j]), pa.array(row[i, j]), pa.array(total[i, j]), pa.array(size[i])], names=["source", "id", "best", "rowid", "total", "n"])
+
+        rows = usable(passages, centers.shape[1]).where("id is not null").select("id", F.col("rowid").cast("long").alias("rowid"), "embedding")
+        return rows.mapInArrow(run, schema).where("id != source")
+
+    parts = [of(b) for b in blocks(sources, ["id", "centroid"])]
+    hits = reduce(DataFrame.unionByName, parts) if parts else passages.sparkSession.createDataFrame([], schema)
+    b = F.max(F.struct("best", (-F.col("rowid")).alias("o"))).alias("b")
+    docs = hits.groupBy("source", "id").agg(b, (F.sum("total") / F.sum("n")).alias("mean"))
+    docs = docs.select("source", "id", F.col("b.best").alias("best"), "mean", (-F.col("b.o")).alias("rowid"))
     docs = top(docs, limit, ["source"], [F.desc("best"), F.asc("rowid")])
     return docs if missing is None else docs.join(missing.select("id").distinct(), "id", "left_anti")
 
@@ -169,8 +270,9 @@ def best_per_document(results: DataFrame) -> DataFrame:
 def context(passages: DataFrame, wanted: DataFrame, around: int = 1) -> DataFrame:
     """(id, section_number, text): a passage with its neighbours, joined by spaces. wanted: (id, section_number)."""
     around = max(0, min(5, around))
-    w = wanted.select("id", F.col("section_number").alias("_s"))
-    met = passages.join(w, "id").where(F.col("section_number").between(F.col("_s") - around, F.col("_s") + around))
+    here = F.col("section_number")
+    w = wanted.select("id", here.alias("_s"), F.explode(F.sequence(here - around, here + around)).alias("section_number"))
+    met = passages.join(w, ["id", "section_number"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_number", "chunk_text"))), lambda t: t["chunk_text"]), " ")
     return met.groupBy("id", F.col("_s").alias("section_number")).agg(text.alias("text"))
 

@@ -76,7 +76,7 @@ def vec_topk(spark, sf):
 
 @query(f"with {sims([1, 2, 3])} select segment, rowid, round(similarity, 6) as similarity from s where similarity >= 0.25")
 def vec_threshold(spark, sf):
-    got = search.scored(passages(spark, sf), segments(spark, sf, [1, 2, 3])).where("similarity >= 0.25")
+    got = search.scored(passages(spark, sf), segments(spark, sf, [1, 2, 3]), 0.25)
     return got.select("segment", "rowid", r6("similarity").alias("similarity"))
 
 
@@ -91,7 +91,7 @@ CENTROID = """c1 as (select id, k, sum(x / n) as x from (select id, unnest(v) as
 def vec_topk_batch(spark, sf):
     p = passages(spark, sf)
     q = search.centroids(p).select(F.col("id").alias("qid"), F.lit(0).alias("segment"), F.col("centroid").alias("vec"))
-    got = search.top(search.scored(p, q), 10, ["qid"])
+    got = search.top(search.scored(p, q, best=10), 10, ["qid"])
     return got.select("qid", "rowid", r6("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -105,7 +105,7 @@ def vec_topk_restricted(spark, sf):
 @query(f"""with {sims([0, 1, 2])} select rowid, round(max(similarity), 6) as similarity, cast(arg_max(segment, (similarity, -segment)) as integer) as segment from s
     where similarity >= 0.1 group by rowid""")
 def vec_maxpool_segments(spark, sf):
-    got = search.pooled(search.scored(passages(spark, sf), segments(spark, sf, [0, 1, 2])).where("similarity >= 0.1"))
+    got = search.pooled(search.scored(passages(spark, sf), segments(spark, sf, [0, 1, 2]), 0.1))
     return got.select("rowid", r6("similarity").alias("similarity"), "segment")
 
 
@@ -127,7 +127,7 @@ def vec_similar_docs(spark, sf):
 @query(f"""with {sims([0])} select id, round(max(similarity), 6) as best, count(*) as n, array_to_string(list(rowid order by similarity desc, rowid), ',') as members from s
     where similarity >= 0.1 group by id""")
 def vec_group_by_doc(spark, sf):
-    rows = search.scored(passages(spark, sf), segments(spark, sf, [0])).where("similarity >= 0.1")
+    rows = search.scored(passages(spark, sf), segments(spark, sf, [0]), 0.1)
     return search.grouped_by_document(rows).select("id", r6("best").alias("best"), "n", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
@@ -185,10 +185,39 @@ def vec_int8_scan_error(spark, sf):
 
 @query(f"with {sims([0, 1])} select rowid, round(max(similarity), 6) as similarity from s where similarity >= 0.1 group by rowid order by max(similarity) desc, rowid limit 25")
 def vec_two_phase(spark, sf):
+    q = [(r.qid, r.segment, r.vec) for r in segments(spark, sf, [0, 1]).collect()]
+    return search.two_phase(passages(spark, sf), q, 0.1, 25, collapse=False).select("rowid", r6("similarity").alias("similarity"))
+
+
+COLLAPSED = """a as (select rowid, id, section_number, max(similarity) as similarity from s where similarity >= {} group by all),
+    o as (select * from a qualify row_number() over (partition by id, section_number order by similarity desc, rowid) = 1),
+    k as (select * from o qualify row_number() over (partition by section_number, cast(similarity as decimal(10,7)) order by similarity desc, rowid) = 1)"""
+
+
+@query(f"with {sims([0, 1])}, {COLLAPSED.format(0.1)} select rowid, round(similarity, 6) as similarity from k order by k.similarity desc, rowid limit 40")
+def vec_rank_collapsed(spark, sf):
+    """Ranked results where copies in other documents stand as one."""
+    return search.rank(passages(spark, sf), segments(spark, sf, [0, 1]), 0.1, 40).select("rowid", r6("similarity").alias("similarity"))
+
+
+@query(f"""with {sims([0, 1])}, m as (select rowid, max(similarity) as best from s group by rowid), c as (select rowid from m where best >= (select min(best) from (select best from m order by best desc limit 25)) - 0.02),
+    t as (select * from s where rowid in (select rowid from c)), {COLLAPSED.format(0.1).replace("from s ", "from t ")}
+    select rowid, round(similarity, 6) as similarity from k order by k.similarity desc, rowid limit 25""")
+def vec_two_phase_collapsed(spark, sf):
     q = [(r.qid, r.segment, r.vec) for r in segments(spark, sf, [0, 1]).collect()]
     return search.two_phase(passages(spark, sf), q, 0.1, 25).select("rowid", r6("similarity").alias("similarity"))
 
 
+@query(f"""with {P}, q as (select rowid as qid, v as qv from p) select qid, rowid, round(list_cosine_similarity(v, qv), 6) as similarity,
+    row_number() over (partition by qid order by list_cosine_similarity(v, qv) desc, rowid) as rank from p, q qualify rank <= 3""")
+def vec_topk_all(spark, sf):
+    """Every passage as a query of its own, in blocks."""
+    p = passages(spark, sf)
+    q = p.select(F.col("rowid").alias("qid"), F.lit(0).alias("segment"), vectors.as_doubles(F.col("embedding")).alias("vec"))
+    got = search.top(search.scored(p.select("rowid", "embedding"), q, best=3), 3, ["qid"])
+    return got.select("qid", "rowid", r6("similarity").alias("similarity"), F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def f16_roundtrip(spark, sf):
     """Vectors through half precision and back: the largest relative error over all."""
