@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 from collections.abc import Callable, Iterator
@@ -130,3 +131,51 @@ def preferences(text: str) -> dict:
                 continue
             out[name] = value
     return out
+
+
+def checked(path: str, sha256: str, size: int | None = None) -> str:
+    """path, if the file has that hash (and size); its bytes pass by in pieces."""
+    h, n = hashlib.sha256(), 0
+    with open(path, "rb") as f:
+        while part := f.read(1 << 20):
+            h.update(part)
+            n += len(part)
+    if size is not None and n != size:
+        raise ValueError(f"{path} has {n} bytes, not {size}")
+    if h.hexdigest() != sha256.lower():
+        raise ValueError(f"{path} has another hash")
+    return path
+
+
+def within(extract: Callable[[bytes], str], seconds: float = 300.0) -> Callable[[bytes], str]:
+    """An extractor that runs in a process of its own and is killed when its time is up."""
+
+    def run(content: bytes) -> str:
+        from multiprocessing import get_context
+
+        ours, theirs = get_context("fork").Pipe(duplex=False)
+        p = get_context("fork").Process(target=_answer, args=(extract, content, theirs), daemon=True)
+        p.start()
+        theirs.close()
+        try:
+            if not ours.poll(seconds):
+                raise TimeoutError(f"timeout: no text within {seconds:g} s")
+            fine, value = ours.recv()
+        except EOFError:
+            raise ChildProcessError("crash: the extractor died") from None
+        finally:
+            p.kill()
+            p.join()
+            ours.close()
+        if not fine:
+            raise RuntimeError(value)
+        return value
+
+    return run
+
+
+def _answer(extract: Callable[[bytes], str], content: bytes, to) -> None:
+    try:
+        to.send((True, extract(content)))
+    except BaseException as e:  # noqa: BLE001 - told to the parent, whatever it is
+        to.send((False, f"{type(e).__name__}: {e}"))
