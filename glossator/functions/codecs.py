@@ -25,3 +25,8 @@ def f16_bytes(v: pd.Series) -> pd.Series:
 @F.pandas_udf(ArrayType(FloatType()))
 def f16_vector(v: pd.Series) -> pd.Series:
     return v.map(lambda x: None if x is None else decode_f16(x))
+
+
+def bytes_of_units(text: Column) -> Column:
+    """The bytes of a vector that was kept as a string of 16-bit units."""
+    return F.encode(text, "UTF-16LE")

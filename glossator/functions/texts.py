@@ -143,3 +143,19 @@ def legacy_passage(text: Column, section: Column, sections: Column, chars: int =
     ahead = F.instr(F.substring(text, end + 1, F.lit(40)), " ")
     stop = F.when(ahead > 0, end + ahead - 1).otherwise(end)
     return F.trim(F.substring(text, start + 1, stop - start))
+
+
+def today(zone: str = "UTC", now: Column | None = None) -> Column:
+    """The day in a zone, YYYY-MM-DD; now: a UTC instant to be tested with."""
+    return F.date_format(F.from_utc_timestamp(now if now is not None else F.current_timestamp(), zone), "yyyy-MM-dd")
+
+
+def months_ago(day: Column, months: int) -> Column:
+    """The same day of the month so many months before; days that it lacks run on into the next month."""
+    first = F.add_months(F.trunc(day, "month"), -months)
+    return F.date_add(first, F.dayofmonth(day) - 1)
+
+
+def shown_date(text: Column, pattern: str = "d MMM yyyy") -> Column:
+    """A day in the reader's form; what is none, as it is; nothing for nothing."""
+    return F.coalesce(F.date_format(F.try_to_timestamp(F.when(F.rlike(text, F.lit(r"^\d{4}-\d\d-\d\d$")), text), F.lit("yyyy-MM-dd")), pattern), text, F.lit(""))

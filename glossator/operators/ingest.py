@@ -59,7 +59,7 @@ def outcomes(documents: DataFrame) -> DataFrame:
     pages = F.transform("pages", normalize_page)
     error = F.lower("error")
     status = (
-        F.when(error.rlike("time|crash|unavailable"), "retry")
+        F.when(error.rlike(r"\b(time ?out|timeouterror|timed out|time limit|crash(ed)?|unavailable)\b"), "retry")
         .when(error.rlike("password|encrypt"), "encrypted")
         .when(error.isNotNull(), "unreadable")
         .when(F.col("pages").isNull() | too_short(F.array_join("pages", "")), "no_text")

@@ -105,3 +105,48 @@ def collections(results: DataFrame, query: str) -> DataFrame:
     name = query if len(query) <= 60 else query[:60] + "…"
     kept = results.where(~F.col("missing") & (F.coalesce("status", F.lit(0)) != 2))
     return kept.groupBy("library_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids")).select("library_id", F.lit(name).alias("name"), "item_ids")
+
+
+def by_value(items: DataFrame, item_data: DataFrame, values: DataFrame, fields: list[str]) -> DataFrame:
+    """(item_id, field, value): items' values of some fields, kept as (item_id, field, value_id) and (value_id, value)."""
+    met = item_data.where(F.col("field").isin(fields)).join(values, "value_id").join(items.select("item_id").distinct(), "item_id", "left_semi")
+    return met.where("value is not null").select("item_id", "field", "value")
+
+
+def with_fields(items: DataFrame, item_data: DataFrame, values: DataFrame) -> DataFrame:
+    """items with all their values as a map."""
+    rows = item_data.join(values, "value_id").where("value is not null").groupBy("item_id", "field").agg(F.max("value").alias("value"))
+    maps = rows.groupBy("item_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
+    return items.join(maps, "item_id", "left").withColumn("fields", F.coalesce("fields", F.create_map().cast("map<string,string>")))
+
+
+def remapped(values: DataFrame, valid: DataFrame, bases: DataFrame) -> DataFrame:
+    """(item_id, name, value, ignored): fields under a name that the item's type has - their own, else the type's own for a
+    common one, else none. valid: (item_type, name); bases: (item_type, base, name). Empty values go."""
+    v = values.withColumn("value", F.trim("value")).where("value != ''")
+    own = valid.select("item_type", "name", F.lit(True).alias("_own")).distinct()
+    by = bases.join(own.drop("_own"), ["item_type", "name"], "left_semi").select("item_type", F.col("base").alias("name"), F.col("name").alias("_to")).groupBy("item_type", "name").agg(F.min("_to").alias("_to"))
+    met = v.join(own, ["item_type", "name"], "left").join(by, ["item_type", "name"], "left")
+    name = F.when(F.col("_own"), F.col("name")).otherwise(F.col("_to"))
+    return met.select("item_id", F.coalesce(name, F.col("name")).alias("name"), "value", name.isNull().alias("ignored"))
+
+
+#: Fields that say nothing of how well a file is described.
+BARE = ("title", "accessDate", "url", "dateAdded", "dateModified")
+
+
+def described_files(attachments: DataFrame, parents: DataFrame) -> DataFrame:
+    """What is shown of each copy of a file: its parent's title, year, type and numbers. attachments: (key, item_id, parent_id,
+    title, date_added, annotations); parents: (item_id, title, item_type, fields, creators, collections, date_added)."""
+    p = parents.select(*(F.col(c).alias(f"p_{c}") for c in ("item_id", "title", "item_type", "fields", "creators", "collections", "date_added")))
+    df = attachments.join(p, F.col("parent_id") == F.col("p_item_id"), "left")
+    filled = F.size(F.map_filter("p_fields", lambda k, v: ~k.isin(*BARE) & v.isNotNull() & (v != "")))
+    makers = F.coalesce(F.array_size("p_creators"), F.lit(0))
+    here = F.col("p_item_id").isNotNull()
+    year = F.substring(F.try_element_at("p_fields", F.lit("date")), 1, 4)
+    return df.select(
+        "key", F.when(here, F.col("p_title")).otherwise(F.col("title")).alias("title"), F.when(year != "0000", year).alias("year"), F.col("p_item_type").alias("item_type"),
+        F.when(here, F.coalesce(filled, F.lit(0)) + makers).otherwise(0).alias("field_count"),
+        (here & ((F.coalesce(filled, F.lit(0)) > 0) | (makers > 0))).alias("has_metadata"), F.coalesce("p_date_added", "date_added").alias("date_added"),
+        F.coalesce(F.array_size("p_collections"), F.lit(0)).alias("collections"), F.coalesce("annotations", F.lit(0)).alias("annotations"),
+    )

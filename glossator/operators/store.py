@@ -1,7 +1,8 @@
 """Tables as versioned Parquet folders, and the mutations of the stores.
 
-A table is a folder of versions ``v=N`` and a pointer file ``CURRENT`` with the number that counts. Writers make version N + 1
-and move the pointer, so readers never see half a write and nothing that is being read is overwritten. The mutations
+A table is a folder of versions; the highest with a marker counts. A writer makes a folder of its own, ``v=N-...``, and then, in
+one step, its marker ``_done-N-...``, so readers never see half a write or none, and nothing that is being read is overwritten.
+Of two writers at once, one has the last word for all readers. The mutations
 themselves are functions from DataFrames to a DataFrame.
 """
 
@@ -24,40 +25,41 @@ class Table:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
+    def _current(self) -> tuple[int, str]:
+        """The version that counts, and its folder's name."""
+        fs, p = self._fs(self.path)
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        done = [n.removeprefix("_done-") for n in names if n.startswith("_done-")]
+        return max(((int(n.split("-")[0]), f"v={n}") for n in done), default=(0, ""))
+
     def version(self) -> int:
-        """0 before the first write; grows by one with each."""
-        fs, p = self._fs(f"{self.path}/CURRENT")
-        return int(self.spark.read.text(str(p)).first()[0]) if fs.exists(p) else 0
+        """0 before the first write; grows with each."""
+        return self._current()[0]
 
     def read(self) -> DataFrame:
         """The current rows; columns that a version lacks are null."""
-        n = self.version()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={n}") if n else self.spark.createDataFrame([], self.schema)
+        n, name = self._current()
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{name}") if n else self.spark.createDataFrame([], self.schema)
 
     def write(self, df: DataFrame, partition_by: list[str] | None = None) -> int:
         """Make df the table's rows."""
         n = self.version() + 1
+        name = f"{n}-{uuid.uuid4().hex}"
         missing = [F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema if f.name not in df.columns]
         out = df.select("*", *missing).select(*self.schema.names)
-        out.write.mode("overwrite").parquet(f"{self.path}/v={n}", partitionBy=partition_by)
-        aside = f"{self.path}/.{uuid.uuid4().hex}"
-        self.spark.createDataFrame([(str(n),)], "n string").coalesce(1).write.text(aside)
-        fs, p = self._fs(aside)
-        part = next(s.getPath() for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
-        current = self._fs(f"{self.path}/CURRENT")[1]
-        fs.delete(current, False)
-        fs.rename(part, current)
-        fs.delete(p, True)
+        out.write.mode("overwrite").parquet(f"{self.path}/v={name}", partitionBy=partition_by)
+        fs, p = self._fs(f"{self.path}/_done-{name}")
+        fs.create(p, False).close()
         return n
 
     def vacuum(self, keep: int = 2) -> None:
         """Delete all versions but the last few."""
-        n = self.version()
+        last = self.version()
         fs, p = self._fs(self.path)
-        for s in fs.listStatus(p):
-            name = s.getPath().getName()
-            if name.startswith("v=") and int(name[2:]) <= n - keep:
-                fs.delete(s.getPath(), True)
+        for x in fs.listStatus(p):
+            kind, _, rest = x.getPath().getName().replace("v=", "v-", 1).partition("-")
+            if kind in ("v", "_done") and int(rest.split("-")[0]) <= last - keep:
+                fs.delete(x.getPath(), True)
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -174,3 +176,58 @@ def fitting(files: DataFrame, cap: int) -> DataFrame:
     times = times.select("mtime", F.coalesce(F.sum("_all").over(w), F.lit(0)).alias("_newer"))
     at = Window.partitionBy("mtime").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     return files.join(times, "mtime").where(F.col("_newer") < cap).withColumn("_here", F.sum("size").over(at)).where(F.col("_newer") + F.col("_here") <= cap).drop("_newer", "_here")
+
+
+def by_rowids(passages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The passages of a list of rowids; the scan reads no other columns of the list."""
+    return passages.join(wanted.where("rowid is not null").select("rowid").distinct(), "rowid", "left_semi")
+
+
+def in_range(passages: DataFrame, low: int, high: int) -> DataFrame:
+    """The passages from low to high, both included; Parquet skips row groups by it."""
+    return passages.where(F.col("rowid").between(low, high))
+
+
+def rowids(passages: DataFrame) -> DataFrame:
+    """All rowids, and nothing else read."""
+    return passages.select("rowid")
+
+
+def indexed_ids(passages: DataFrame, legacy: bool = False) -> DataFrame:
+    """Documents that have passages; legacy: passages without a scheme."""
+    return (passages.where("scheme is null") if legacy else passages).where("id is not null").select("id").distinct()
+
+
+def without_model(passages: DataFrame, model: str, active: str, building: str | None = None) -> DataFrame:
+    """passages less a model's; refused for the one in use and the one being built."""
+    if model in (active, building):
+        raise ValueError(f"{model} is in use")
+    return passages.where(~F.col("model").eqNullSafe(F.lit(model)))
+
+
+def entries(passages: DataFrame) -> DataFrame:
+    """What an index knows of each passage: rowid, document, file, section, and the document's number of sections."""
+    n = passages.groupBy("id").agg(F.count(F.lit(1)).alias("section_count"))
+    return passages.select("rowid", "id", "file_name", "section_number").join(n, "id").select("rowid", "id", "file_name", "section_number", "section_count")
+
+
+def compacted(index: DataFrame) -> DataFrame:
+    """index (place, id, live, ...) without its tombstones, documents numbered anew by where they come first."""
+    live = index.where("live")
+    first = live.groupBy("id").agg(F.min("place").alias("_first"))
+    number = first.withColumn("document", F.row_number().over(Window.orderBy("_first")) - 1).drop("_first")  # a row a document
+    return live.drop("document").join(number, "id").drop("live")
+
+
+def history_without(history: DataFrame, id: str) -> DataFrame:
+    return history.where(~F.col("id").eqNullSafe(F.lit(id)))
+
+
+def history_updated(history: DataFrame, id: str, results: Column) -> DataFrame:
+    """history with a search's results set; other searches stay."""
+    return history.withColumn("results", F.when(F.col("id") == id, results).otherwise(F.col("results")))
+
+
+def results_of(text: Column, kind: str) -> Column:
+    """Saved results from JSON; an empty list where it is none."""
+    return F.coalesce(F.from_json(text, f"array<{kind}>"), F.array().cast(f"array<{kind}>"))

@@ -11,9 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import codecs, texts, vectors
+from ..functions import codecs, registered, texts, tokenizers, vectors
 from ..functions.words import chunks
-from ..operators import duplicates, ingest, items, search, store
+from ..operators import control, duplicates, ingest, items, search, searching, store
 from ..sources.files import html_pages
 from ..streaming import changes
 
@@ -568,3 +568,246 @@ def lru_prune_running_sum(spark, sf):
     return store.fitting(f, 300_000_000).select("key")
 
 
+
+
+# scans of passages
+
+
+@query("select vec_id as rowid, label from embeddings where vec_id in (select o_orderkey from orders where o_orderstatus = 'F')")
+def scan_rowid_list(spark, sf):
+    wanted = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("rowid"))
+    return store.by_rowids(table(spark, sf, "embeddings").select(F.col("vec_id").alias("rowid"), "label"), wanted)
+
+
+@query("select vec_id as rowid, label from embeddings where vec_id between 100 and 299")
+def scan_rowid_range(spark, sf):
+    return store.in_range(table(spark, sf, "embeddings").select(F.col("vec_id").alias("rowid"), "label"), 100, 299)
+
+
+@query("select vec_id as rowid from embeddings")
+def scan_rowids(spark, sf):
+    return store.rowids(passages(spark, sf))
+
+
+@query("select distinct source as id, 'all' as kind from documents where source is not null union all select distinct source, 'legacy' from documents where source is not null and lang != 'de'")
+def indexed_ids(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("source").alias("id"), F.when(F.col("lang") == "de", 2).alias("scheme"))
+    return store.indexed_ids(d).withColumn("kind", F.lit("all")).unionByName(store.indexed_ids(d, True).withColumn("kind", F.lit("legacy")))
+
+
+@query(f"with {P} select rowid, id, section_number, count(*) over (partition by id) as section_count from p")
+def index_entries(spark, sf):
+    got = store.entries(passages(spark, sf).withColumn("file_name", F.lit("f")))
+    return got.select("rowid", "id", "section_number", "section_count")
+
+
+@query("""with l as (select doc_id as place, source as id from documents where doc_id % 3 != 0), n as (select id, row_number() over (order by min(place)) - 1 as document from l group by id)
+    select place, id, document from l join n using (id)""")
+def index_compaction(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("place"), F.col("source").alias("id"), (F.col("doc_id") % 3 != 0).alias("live"), F.lit(0).alias("document"))
+    return store.compacted(d).select("place", "id", F.col("document").cast("long").alias("document"))
+
+
+@query("""select * from (select cast(label as varchar) as id, vec_id as rowid, 0 as fresh from embeddings where cast(label as varchar) not in (select cast(doc_id as varchar) from documents)) union all
+    select cast(d.doc_id as varchar), (select max(vec_id) from embeddings) + row_number() over (order by cast(d.doc_id as varchar)), 1 from documents d""")
+def replace_documents_again(spark, sf):
+    """Documents that are there already lose their old passages."""
+    old = table(spark, sf, "embeddings").select(F.lit("m").alias("model"), F.col("label").cast("string").alias("id"), F.col("vec_id").alias("rowid"), F.lit(0).alias("fresh"))
+    new = table(spark, sf, "documents").select(F.lit("m").alias("model"), F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("section_number"), F.lit(None).cast("long").alias("rowid"), F.lit(1).alias("fresh"))
+    return store.replace_documents(old, new).select("id", "rowid", "fresh")
+
+
+@query("select model, count(*) as n from (select unnest(['a', 'b', 'c']) as model from embeddings) where model != 'b' group by model")
+def delete_model(spark, sf):
+    p = passages(spark, sf).withColumn("model", F.explode(F.array(*map(F.lit, "abc"))))
+    return store.without_model(p, "b", "a", "c").groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
+# items once more
+
+
+def orders_as_files(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders")
+    return o.select(
+        F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderkey").alias("item_id"), F.when(F.col("o_orderkey") % 5 != 0, F.col("o_custkey")).alias("parent_id"),
+        F.col("o_orderpriority").alias("title"), F.col("o_orderdate").cast("timestamp").alias("date_added"), F.when(F.col("o_orderstatus") == "F", "application/pdf").otherwise("text/html").alias("content_type"),
+        F.lit(False).alias("deleted"), (F.col("o_orderkey") % 3).cast("int").alias("annotations"),
+    )
+
+
+def customers_as_items(spark, sf) -> DataFrame:
+    c = table(spark, sf, "customer")
+    fields = F.create_map(F.lit("date"), F.when(F.col("c_custkey") % 7 == 0, "0000").otherwise(F.concat(F.lit("19"), F.lpad((F.col("c_custkey") % 100).cast("string"), 2, "0"), F.lit("-05"))), F.lit("url"), F.lit("u"), F.lit("publicationTitle"), F.col("c_mktsegment"))
+    person = F.struct(F.lit("A").alias("first_name"), F.concat(F.lit("B"), (F.col("c_custkey") % 10).cast("string")).alias("last_name"), F.lit(None).cast("string").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "author").otherwise("translator").alias("creator_type"))
+    return c.select(
+        F.col("c_custkey").alias("item_id"), F.col("c_name").alias("key"), F.col("c_name").alias("title"), F.when(F.col("c_nationkey") < 12, "book").otherwise("article").alias("item_type"), fields.alias("fields"), F.array(person).alias("creators"),
+        F.array(F.col("c_mktsegment")).alias("collections"), F.timestamp_seconds(F.col("c_custkey")).alias("date_added"), (F.col("c_custkey") % 11 == 0).alias("deleted"),
+    )
+
+
+ITEMS = """a as (select *, cast(o_orderkey as varchar) as key, case when o_orderkey % 5 != 0 then o_custkey end as parent_id from orders),
+    i as (select *, case when c_custkey % 7 != 0 then '19' || lpad(cast(c_custkey % 100 as varchar), 2, '0') end as year from customer)"""
+
+
+@query(f"""with {ITEMS} select key, c_name as title, year, case when c_custkey % 2 = 0 then 'B' || (c_custkey % 10) else '' end as authors, c_mktsegment as publication,
+    case when c_nationkey < 12 then 'book' when c_custkey is not null then 'article' end as item_type, coalesce(c_custkey % 11 = 0, true) as missing from a left join i on coalesce(parent_id, -1) = c_custkey""")
+def item_metadata(spark, sf):
+    files = orders_as_files(spark, sf).withColumn("item_id", F.lit(-1).cast("long"))
+    got = items.described(files, customers_as_items(spark, sf))
+    return got.select("key", "title", "year", F.coalesce("authors", F.lit("")).alias("authors"), "publication", "item_type", "missing")
+
+
+@query(f"""with {ITEMS} select key, coalesce(c_name, o_orderpriority) as title, case when c_custkey is not null then year end as year, case when c_custkey is not null then 3 else 0 end as field_count,
+    c_custkey is not null as has_metadata, case when c_custkey is not null then 1 else 0 end as collections, cast(o_orderkey % 3 as integer) as annotations from a left join i on parent_id = c_custkey""")
+def duplicate_view(spark, sf):
+    got = items.described_files(orders_as_files(spark, sf), customers_as_items(spark, sf))
+    return got.select("key", "title", "year", "field_count", "has_metadata", "collections", "annotations")
+
+
+@query("""select coalesce(case when o_orderkey % 5 != 0 then o_custkey end, o_orderkey) as item_id, cast(arg_min(o_orderkey, struct_pack(a := case when o_orderstatus = 'F' then 0 else 1 end, b := o_orderdate, c := o_orderkey)) as varchar) as key
+    from orders group by 1""")
+def best_attachment(spark, sf):
+    got = items.best_attachment(orders_as_files(spark, sf))
+    return got.select(F.coalesce("parent_id", "item_id").alias("item_id"), "key")
+
+
+@query("""with d as (select distinct c_custkey as id, token from customer, (select unnest(['doi', 'isbn']) as kind), lateral (select case when kind = 'doi' then '10.' || (c_custkey % 700) || '/x' else '97800' || lpad(cast(c_custkey % 900 as varchar), 8, '0') end as token)),
+    n as (select s_suppkey as new_id, '10.' || (s_suppkey % 700) || '/x' as token from supplier union all select s_suppkey, '97800' || lpad(cast((s_suppkey * 3) % 900 as varchar), 8, '0') from supplier)
+    select distinct new_id, id as item_id from n join d using (token)""")
+def same_identifier(spark, sf):
+    """New items that share a DOI or ISBN, however they are written, with known ones."""
+    number = lambda k: F.concat(F.lit("978-0-0"), F.lpad((k % 900).cast("string"), 8, "0"))
+    doi = lambda head, k, tail: F.concat(F.lit(head), (k % 700).cast("string"), F.lit(tail))
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    known = table(spark, sf, "customer").select(k.alias("item_id"), F.create_map(F.lit("DOI"), doi("https://doi.org/10.", k, "/X"), F.lit("ISBN"), F.concat(F.lit("short, "), number(k))).alias("fields"))
+    new = table(spark, sf, "supplier").select(s.alias("item_id"), F.create_map(F.lit("DOI"), doi("10.", s, "/x"), F.lit("ISBN"), number(s * 3)).alias("fields"))
+    return items.same_identifier(new, known)
+
+
+@query("""select o_orderkey as item_id, field, value from (select o_orderkey, unnest(['clerk', 'status', 'day']) as field, unnest([o_orderpriority, o_orderstatus, strftime(o_orderdate, '%Y')]) as value from orders) where field in ('clerk', 'day')""")
+def item_values(spark, sf):
+    """Items' values, kept apart as a table of fields and one of values."""
+    o = table(spark, sf, "orders")
+    rows = o.select(F.col("o_orderkey").alias("item_id"), F.explode(F.create_map(F.lit("clerk"), F.col("o_orderpriority"), F.lit("status"), F.col("o_orderstatus"), F.lit("day"), F.date_format("o_orderdate", "yyyy"))).alias("field", "value"))
+    data = rows.select("item_id", "field", F.xxhash64("value").alias("value_id"))
+    return items.by_value(o.select(F.col("o_orderkey").alias("item_id")), data, rows.select(F.xxhash64("value").alias("value_id"), "value").distinct(), ["clerk", "day"])
+
+
+@query("""select o_orderkey as item_id, case when o_orderstatus = 'F' then 'journal' when o_orderstatus = 'O' then 'venue' else 'venue' end as name, o_orderpriority as value, o_orderstatus = 'P' as ignored from orders""")
+def field_remap(spark, sf):
+    """A field under the name that an item's type has for it; types without one ignore it."""
+    v = table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_orderstatus").alias("item_type"), F.lit("venue").alias("name"), F.col("o_orderpriority").alias("value"))
+    pair = lambda *rows: spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in r)) for r in rows))))
+    valid = pair((("item_type", "F"), ("name", "journal")), (("item_type", "O"), ("name", "venue")))
+    bases = pair((("item_type", "F"), ("base", "venue"), ("name", "journal")), (("item_type", "P"), ("base", "venue"), ("name", "gone")))
+    return items.remapped(v, valid, bases)
+
+
+@query(f"""with {P}, r as (select vec_id as rowid, vec_id % 7 as s from embeddings) select r.rowid, coalesce(d.text, e.text) as chunk_text, coalesce(l.toxic = 1, true) as missing
+    from r left join documents d on d.doc_id = r.rowid and r.rowid % 2 = 0 left join documents e on e.doc_id = r.rowid left join labels l on l.doc_id = r.rowid""")
+def enriched_results(spark, sf):
+    """Results with their text, by row or else by place, and whether their item is gone."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    p = d.select(F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(F.col("doc_id") + 1_000_000_000).alias("rowid"), F.col("doc_id").cast("string").alias("id"), F.lit(0).alias("section_number"), F.col("text").alias("chunk_text"), F.lit(1).alias("page"))
+    i = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("key"), F.lit("t").alias("item_type"), F.lit("x").alias("title"), (F.col("toxic") == 1).alias("deleted"))
+    r = table(spark, sf, "embeddings").select(F.col("vec_id").alias("rowid"), F.col("vec_id").cast("string").alias("id"), F.lit(0).alias("section_number"), F.lit(0.5).alias("similarity"))
+    return items.enriched(r, p, i).select("rowid", "chunk_text", "missing")
+
+
+@query("""select doc_id as id, l.toxic, case when l.doc_id is null then 'gone' end as state from documents left join labels l using (doc_id)""")
+def history_projection(spark, sf):
+    """What a saved result keeps, through a list of results and out again."""
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
+    r = searching.shape(d.select(F.lit(0.5).alias("similarity"), F.col("doc_id").cast("string").alias("folder_id"), F.lit("f").alias("file_name"), F.lit(1).alias("section_number"), F.col("doc_id").alias("rowid"), F.col("toxic").alias("status"), F.lit("extra").alias("more")))
+    kept = r.groupBy().agg(F.to_json(F.collect_list(F.struct("*"))).alias("j"))
+    kind = r.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", ": ")
+    back = kept.select(F.inline(store.results_of(F.col("j"), f"struct<{kind}>")))
+    return back.select(F.col("rowid").alias("id"), F.col("status").cast("int").alias("toxic"), F.when(F.col("status").isNull(), "gone").alias("state"))
+
+
+@query("""with h as (select user_id as id, count(*) as n, max(value) as top from events group by user_id) select id, n from h where n >= 8 and floor(top / 100) = 2""")
+def history_reuse(spark, sf):
+    """Saved searches that stand for a new one: results, state and threshold must fit."""
+    e = table(spark, sf, "events").groupBy(F.col("user_id").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("top"))
+    h = e.select("id", "n", F.array_repeat(F.lit(1), F.col("n").cast("int")).alias("results"), F.when(F.col("n") >= 8, "7:9").otherwise("7:8").alias("index_state"), F.floor(F.col("top") / 100).cast("double").alias("min_similarity"))
+    return store.reusable(h, "7:9", 2.0).select("id", "n")
+
+
+@query("select doc_id as key, sha256(text) as h, b.doc_id2 as other from documents d join (select doc_id as doc_id2, text as t2 from documents) b on d.text = b.t2 and d.doc_id != b.doc_id2")
+def duplicate_watch(spark, sf):
+    """Files that equal other known ones, as if all were new."""
+    h = hashes(spark, sf).select("key", "hash")
+    got = changes.check_new(h, h, h.limit(0))
+    return got.select("key", F.substring("hash", 8, 64).alias("h"), "other")
+
+
+@query("""select count(*) as total, count(*) filter (where event_type = 'click') as done, count(*) filter (where event_type = 'view') as failed, count(*) filter (where event_type not in ('click', 'view')) as excluded,
+    round(sum(event_id % 50) / sum(value), 6) as rate from events""")
+def index_statistics(spark, sf):
+    e = table(spark, sf, "events")
+    status = F.when(F.col("event_type") == "click", "index").when(F.col("event_type") == "view", "retry").otherwise("no_text")
+    got = ingest.statistics(e.select(F.col("event_id").alias("id"), status.alias("status"), (F.col("event_id") % 50).alias("passages"), F.col("value").alias("seconds")))
+    return got.select("total", "done", "failed", "excluded", r6("passages_per_second").alias("rate"))
+
+
+@query("""select o_custkey as hash, cast(arg_min(o_orderkey, struct_pack(a := case when o_orderkey % 5 = 0 then 1 else 0 end, b := case when o_orderkey % 5 = 0 then 0 else -epoch(o_orderdate) end, c := o_orderdate, d := cast(o_orderkey as varchar))) as varchar) as key
+    from orders group by o_custkey""")
+def duplicate_preview(spark, sf):
+    """The copy that is shown first."""
+    f = orders_as_files(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("hash")), "item_id")
+    return duplicates.preview_keeper(f.withColumn("date_modified", F.col("date_added")))
+
+
+# texts, dates, pieces
+
+
+@query("select doc_id, cast(strlen(text) as bigint) as n from documents")
+def utf8_lengths(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tokenizers.utf8_length(F.col("text")).cast("long").alias("n"))
+
+
+@query("""select o_orderkey, strftime(o_orderdate, '%d %m %Y') as shown, strftime(date_trunc('month', o_orderdate) - interval 1 month + to_days(cast(day(o_orderdate) as integer) - 1), '%Y-%m-%d') as before,
+    strftime(o_orderdate - interval 5 hour, '%Y-%m-%d') as there from orders""")
+def dates(spark, sf):
+    o = table(spark, sf, "orders").withColumn("t", F.col("o_orderdate").cast("timestamp"))
+    day = F.col("t").cast("date")
+    return o.select("o_orderkey", texts.shown_date(F.date_format("t", "yyyy-MM-dd"), "dd MM yyyy").alias("shown"), texts.months_ago(day, 1).cast("string").alias("before"), texts.today("Etc/GMT+5", F.col("t")).alias("there"))
+
+
+@query(r"select doc_id, regexp_replace(text, '[\p{Cc}\p{Cf}]', '', 'g') as t, 'de' || chr(10) || text as p from documents")
+def text_controls_and_prompt(spark, sf):
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", texts.without_controls(F.col("text")).alias("t"), texts.prompt(F.lit("[QUERY]\n[TEXT]"), F.lit("de"), F.col("text")).alias("p"))
+
+
+@query("""select o_orderkey, concat_ws(', ', o_orderpriority, strftime(o_orderdate, '%Y')) || ', p. ' || (o_custkey + 1) as cited, '≈' || (o_custkey + 1) as label, cast(greatest(0.15, least(1.0, (o_totalprice / 500000 - 0.4) / 0.4)) as double) as strength from orders""")
+def labels_and_strength(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey", texts.citation(F.col("o_orderpriority"), F.date_format("o_orderdate", "yyyy"), F.lit(""), F.col("o_custkey")).alias("cited"), texts.page_label(F.col("o_custkey"), F.lit(True)).alias("label"), texts.strength(F.col("o_totalprice") / 500000).alias("strength"))
+
+
+@query(f"with {P}, v as (select id, unnest(v) as x, unnest(range(1, len(v) + 1)) as k, sqrt(list_sum(list_transform(v, lambda y: y * y))) as n from p) select rowid, round(list_cosine_similarity(v, (select v from p where rowid = 0)), 6) as similarity from p")
+def sql_functions(spark, sf):
+    """The functions of vectors by their SQL names."""
+    registered.register(spark)
+    passages(spark, sf).createOrReplaceTempView("glossator_passages")
+    return spark.sql("select a.rowid, round(vector_cosine(a.embedding, b.embedding), 6) as similarity from glossator_passages a cross join (select embedding from glossator_passages where rowid = 0) b")
+
+
+@query("""select user_id as worker, epoch_us(max(ts)) as last from events group by user_id having epoch(timestamp '2024-02-01') - epoch(max(ts)) >= 180""")
+def stalled_workers(spark, sf):
+    e = changes.timed(table(spark, sf, "events")).select(F.col("user_id").alias("worker"), "ts")
+    return control.stalled(e, F.lit("2024-02-01 00:00:00").cast("timestamp")).select("worker", F.unix_micros("last").alias("last"))
+
+
+@query("select epoch_us(time_bucket(interval '10 minutes', ts)) as begin, count(*) as n from events group by 1")
+def coalesced_events(spark, sf):
+    e = changes.timed(table(spark, sf, "events")).select(F.col("user_id").alias("key"), "ts")
+    return changes.coalesced(e, "10 minutes").select(F.unix_micros("begin").alias("begin"), "n")
+
+
+@query("""with e as (select *, event_type = 'click' as cached, coalesce(sum(case when event_type = 'click' then 0 else value end) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding), 0) as used from events)
+    select event_id, not cached and used >= 300 as text_pending from e""")
+def text_budget(spark, sf):
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("request"), F.col("event_id").alias("place"), (F.col("event_type") == "click").alias("cached"), F.col("value").alias("seconds"), F.lit("t").alias("text"))
+    return control.within_budget(e, 300.0).select("event_id", "text_pending")

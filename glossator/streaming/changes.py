@@ -31,8 +31,11 @@ def debounced(changes: DataFrame, quiet: str = INDEX_QUIET, late: str = "10 minu
 
 
 def bursts(alerts: DataFrame, quiet: str = ALERT_QUIET, late: str = "1 minute", shown: int = 8) -> DataFrame:
-    """(begin, fires, n, titles): one alert for each burst of all keys, with the first titles. A burst's list is the interface's
-    few entries, so it is cut to them before it is gathered."""
+    """(begin, fires, n, titles): one alert for each burst of all keys, with the first titles in order.
+
+    A burst spans all keys, so it is one task's, and its distinct titles are gathered before they are cut: it is for the alerts
+    of one reader, not for the changes of a whole lake.
+    """
     df = alerts.withWatermark("ts", late) if alerts.isStreaming else alerts
     got = df.groupBy(F.session_window("ts", quiet).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_set("title")), 1, shown).alias("titles"))
     return got.select(F.col("w.start").alias("begin"), F.col("w.end").alias("fires"), "n", "titles")
@@ -86,3 +89,15 @@ def pending(changes: DataFrame, hours: int = 24, late: str = "10 minutes") -> Da
 
     df = changes.withWatermark("ts", late)
     return df.groupBy("key").applyInPandasWithState(step, "key string, outcome string, at timestamp", "size long, at long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def coalesced(events: DataFrame, every: str = "300 milliseconds", late: str = "1 minute") -> DataFrame:
+    """(begin, n, keys): events together by a fixed interval, one refresh each; keys: how many differ, about."""
+    df = events.withWatermark("ts", late) if events.isStreaming else events
+    got = df.groupBy(F.window("ts", every).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("key").alias("keys"))
+    return got.select(F.col("w.start").alias("begin"), "n", "keys")
+
+
+def throttled(events: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1 second") -> StreamingQuery:
+    """Run handle at most once an interval, on what has come since."""
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(handle).trigger(processingTime=every).start()
