@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes that a batch to or from Python may hold; a longer row is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Rows of a table of keys that may be broadcast once they are counted; and rows of one key that aren't left to one task.
+FEW, HOT = 1 << 19, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,3 +89,22 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             give_back()
 
     return df.mapInArrow(bounded, schema)
+
+
+def few(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table, to be broadcast if it has at most FEW rows; the join shuffles it otherwise."""
+    out = written(df, name)
+    return F.broadcast(out) if out.limit(FEW + 1).count() <= FEW else out
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: str | list[str]) -> DataFrame:
+    """rows joined to keyed, a written table with a row for each key and ``_rows``, the number of rows that have the key.
+
+    Keys of more than HOT rows, of which there are at most 1 / HOT as many as rows, are broadcast, so their rows stay where
+    they are; the rest is shuffled.
+    """
+    if keyed.where(F.col("_rows") > HOT).isEmpty():
+        return rows.join(keyed.drop("_rows"), on)
+    hot, rest = F.broadcast(keyed.where(F.col("_rows") > HOT).drop("_rows")), keyed.where(F.col("_rows") <= HOT).drop("_rows")
+    names = [on] if isinstance(on, str) else on
+    return rows.join(hot, names).unionByName(rows.join(hot.select(*names), names, "left_anti").join(rest, names))

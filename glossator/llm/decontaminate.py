@@ -15,7 +15,7 @@ don't move: of each text with hits, only the hashed words around them do. The jo
 
 Defined cases: items without words take no part; null and empty texts have no leaks; a passage cut short at a text's
 border counts by the words that are there; each repeated row gets its own leaks once; an empty table gives no leaks; columns
-other than id and text are not read.
+other than id and text are not read. The id may be of any type that compares.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow, table, written
+from .common import arrow, few, table, written
 from .graph import bloom, may_hold
 from .words import PUNCTUATION, Words, folded, mix64, pieces
 
@@ -122,28 +122,25 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
                 first, last = np.flatnonzero(fresh), np.concatenate([np.flatnonzero(fresh)[1:], [len(where)]])
                 low = np.maximum(where[first] - WINDOW, w.first[owner[first]])
                 high = np.minimum(where[last - 1] + 2 * WINDOW, w.first[owner[first] + 1])
-                for r in range(len(first)):
-                    i = owner[first[r]]
-                    pairs = {(int(k), int(x)) for k, x in zip(key[first[r] : last[r]].view(np.int64), where[first[r] : last[r]] - low[r])}
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "doc_id": [p.column(0)[int(i)].as_py()],
-                            "text_hash": [p.column(1)[int(i)].as_py()],
-                            "start": [int(low[r] - w.first[i])],
-                            "words": [w.hashes[low[r] : high[r]].tobytes()],
-                            "hits": [[{"key": k, "at": x} for k, x in pairs]],
-                        },
-                        schema=shape,
-                    )
+                of = owner[first]
+                region = np.repeat(np.arange(len(first)), last - first)
+                at, key = where - low[region], key.view(np.int64)
+                order = np.lexsort((at, key, region))
+                region, key, at = region[order], key[order], at[order]
+                new = np.concatenate([[True], (np.diff(region) != 0) | (key[1:] != key[:-1]) | (np.diff(at) != 0)])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(region[new], minlength=len(first)))]).astype(np.int32)
+                hits = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(key[new]), pa.array(at[new])], names=["key", "at"]))
+                words = pa.array([w.hashes[x:y].tobytes() for x, y in zip(low, high, strict=True)], pa.binary())
+                whose = pa.array(of)
+                yield pa.RecordBatch.from_arrays([p.column(0).take(whose), p.column(1).take(whose), pa.array(low - w.first[of]), words, hits], names=["doc_id", "text_hash", "start", "words", "hits"])
 
     kind = given.schema["doc_id"].dataType.simpleString()
-    shape = pa.schema([("doc_id", {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())), ("text_hash", pa.int64()), ("start", pa.int64()), ("words", pa.binary()), ("hits", pa.list_(pa.struct([("key", pa.int64()), ("at", pa.int64())])))])
     regions = arrow(given, run, f"doc_id {kind}, text_hash long, start long, words binary, hits array<struct<key:long,at:long>>")
     regions = written(regions.distinct().withColumn("region", F.xxhash64("doc_id", "text_hash", "start")), "leak-regions")
     hits = regions.select("region", F.explode("hits").alias("hit")).select("region", "hit.key", F.col("hit.at").alias("place")).withColumn("salt", F.pmod(F.xxhash64("region"), F.lit(SALTS)).cast("int"))
-    spread = bench.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    laid = hits.join(spread, ["key", "salt"]).select("region", "item_uid", (F.col("place") - F.col("at")).alias("shift")).distinct()
-    laid = laid.join(items, "item_uid").withColumnRenamed("words", "item_words").join(regions.drop("hits"), "region")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    laid = hits.join(bench.select("*", salts), ["key", "salt"]).select("region", "salt", "item_uid", (F.col("place") - F.col("at")).alias("shift")).distinct()
+    laid = laid.join(items.select("*", salts), ["item_uid", "salt"]).drop("salt").withColumnRenamed("words", "item_words").join(regions.drop("hits"), "region")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,6 +175,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs less the documents that leak a benchmark item; all columns stay."""
     bad = leaks(docs, benchmark, doc, text).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    bad = few(bad, "leak-documents")  # else every text would be shuffled to be held against a few ids
     return docs.join(bad, F.col(doc).eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text)) == F.col("_hash")), "left_anti")
 
 

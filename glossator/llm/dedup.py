@@ -10,10 +10,12 @@ least rank is the coordinate. ``BANDS`` bands of ``ROWS`` coordinates miss a pai
 3. Classes that share a band are joined to the least of the band; connected, they make clusters. No pair is emitted: a band of
    g classes gives g - 1 edges. All candidate pairs lie within clusters.
 4. The sets of cluster members (found by a fixed-size Bloom filter while reading the texts again) go to their clusters. Large
-   clusters are cut into blocks by set size, and each pair of blocks whose sizes can match is a group of its own, so that
-   no task holds more than two blocks. Within a group all intersections are counted exactly as a matrix product over the
+   clusters are cut into blocks by set size and a hash, and each pair of blocks whose sizes can match is a group of its own, so
+   that a task holds two blocks. Within a group all intersections are counted exactly as a matrix product over the
    shingles that occur twice, and the links are sent as a spanning forest.
-5. The components of these links.
+5. The components of these links, and of those between the classes of an id that has several texts.
+
+Bands, hubs and clusters with very many rows are met by a broadcast of those few keys, so none is one task's.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; rows with a null id are linked with nothing
 and stay; rows that share an id are one node; equal rows each get a row; other columns are not read.
@@ -21,6 +23,7 @@ and stay; rows that share an id are one node; equal rows each get a row; other c
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, table, written
+from .common import arrow, few, join_hot, table, written
 from .graph import bloom, components, may_hold
 from .words import Words, mix64, pieces
 
@@ -129,6 +132,14 @@ def forest(ids: np.ndarray, links: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def one_node(named: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) from each id to the representatives of all its classes, for ids whose rows have several sets."""
+    kind = F.struct("f1", "f2", "n")
+    several = named.groupBy("doc_id").agg(F.min(kind).alias("lo"), F.max(kind).alias("hi")).where("lo != hi").select("doc_id")
+    rows = named.join(several, "doc_id", "left_semi").select("doc_id", "f1", "f2", "n").distinct()
+    return rows.join(classes, ["f1", "f2", "n"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of docs. percent: of the union, that a link must share."""
     spark = docs.sparkSession
@@ -140,15 +151,20 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
     # the bands of classes; a class's representative may be several equal rows
     of = named.join(classes, (named.doc_id == classes.rep) & (named.f1 == classes.f1) & (named.f2 == classes.f2) & (named.n == classes.n), "left_semi")
     banded = of.select("doc_id", F.explode("bands").alias("band"))
-    least = banded.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least != most").drop("most")
-    edges = banded.join(least, "band").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    least = banded.groupBy("band").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("_rows"))
+    least = written(least.where("least != most").drop("most"), "dedup-bands")
+    edges = join_hot(banded, least, "band").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
     clusters = written(components(edges), "dedup-clusters").withColumnsRenamed({"id": "member", "root": "cluster"})
 
-    # blocks: by size of the set within a cluster, so that few pairs of blocks can match
+    # blocks: sets of a size within a cluster are spread over as many as they need, by a hash, so no cluster is in one task
+    step = math.log(100 / percent)
     sized = named.join(clusters, named.doc_id == clusters.member, "inner").groupBy("cluster", "member").agg(F.sum("n").alias("weight"), F.min("n").alias("n"), F.max("n").alias("most"))
-    order = Window.partitionBy("cluster").orderBy("n", "member").rowsBetween(Window.unboundedPreceding, -1)
-    block = F.greatest(F.floor(F.coalesce(F.sum("weight").over(order), F.lit(0)) / block_shingles), F.floor(F.count(F.lit(1)).over(order) / BLOCK_DOCS))
-    blocked = written(sized.withColumn("block", block), "dedup-blocks")
+    sized = written(sized.withColumn("band", F.floor(F.log("n") / F.lit(step))), "dedup-sizes")
+    need = sized.groupBy("cluster", "band").agg(F.sum("weight").alias("_weight"), F.count(F.lit(1)).alias("_rows"))
+    need = need.withColumn("parts", F.greatest(F.ceil(F.col("_weight") / block_shingles), F.ceil(F.col("_rows") / BLOCK_DOCS))).drop("_weight")
+    blocked = join_hot(sized, written(need, "dedup-needs"), ["cluster", "band"])
+    block = F.struct("band", F.pmod(F.xxhash64("member"), F.col("parts")).alias("part"))
+    blocked = written(blocked.select("cluster", "member", "n", "most", block.alias("block")), "dedup-blocks")
     span = blocked.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("most").alias("high"))
     left, right = span.alias("l"), span.alias("r")
     can = left.join(right, (F.col("l.cluster") == F.col("r.cluster")) & (F.col("l.block") <= F.col("r.block")) & (F.col("r.low") * percent <= F.col("l.high") * 100))
@@ -180,7 +196,7 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     links = sets.groupBy("cluster", "i", "j").applyInArrow(verify, "a long, b long")
-    joined = written(components(links), "dedup-components")
+    joined = written(components(links.unionByName(one_node(named, classes))), "dedup-components")
 
     # back to rows: only classes with copies need a join, and hot ones are spread by a salt
     copied = classes.where("copies > 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("copies")
@@ -191,11 +207,19 @@ def near_duplicates(docs: DataFrame, doc: str = "doc_id", text: str = "text", k:
 
 
 def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with one document of each component; rows that repeat an id and a text come once. All columns stay."""
+    """docs with one document of each component; rows that repeat an id and a text come once. All columns stay.
+
+    Which rows go is decided on ids and hashes; of the texts, only those of repeated rows move.
+    """
     gone = near_duplicates(docs, doc, text, **options).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col(doc) == F.col("_gone"), "left_anti")
-    once = Window.partitionBy(doc, F.xxhash64(F.col(text))).orderBy(F.xxhash64(*docs.columns))
-    return left.withColumn("_copy", F.row_number().over(once)).where(F.col("_copy") == 1).drop("_copy")
+    left = docs.join(few(gone, "dedup-gone"), F.col(doc) == F.col("_gone"), "left_anti")
+    key = [F.col(doc), F.xxhash64(F.col(text))]
+    again = docs.select(key[0].alias("_id"), key[1].alias("_hash")).groupBy("_id", "_hash").count().where("count > 1").drop("count")
+    again = few(again, "dedup-repeats")
+    on = key[0].eqNullSafe(F.col("_id")) & (key[1] == F.col("_hash"))
+    once = Window.partitionBy(*key).orderBy(F.xxhash64(*docs.columns))
+    repeated = left.join(again, on, "left_semi").withColumn("_copy", F.row_number().over(once)).where(F.col("_copy") == 1).drop("_copy")
+    return left.join(again, on, "left_anti").unionByName(repeated)
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

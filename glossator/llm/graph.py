@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, scratch
+from . import common
+from .common import drop_path, join_hot, scratch, written
 
 BLOOM_BITS = 1 << 23
 
@@ -19,13 +20,13 @@ def components(edges: DataFrame) -> DataFrame:
     is a written table, so a lost executor costs a round at most.
     """
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, many: bool) -> DataFrame:
         # small star: from each node to its smaller neighbours; large star: both directions
         d = e.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
         if large:
             d = d.unionByName(d.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = d.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        met = d.join(least, "u")
+        least = d.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_rows")).withColumn("m", F.least("m", "u"))
+        met = join_hot(d, written(least, "hubs"), "u") if many else d.join(least.drop("_rows"), "u")
         if large:
             met = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -40,9 +41,10 @@ def components(edges: DataFrame) -> DataFrame:
         return spark.read.parquet(path), path
 
     now, path = kept(edges.where("a != b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).distinct())
-    state = None
+    state = now.agg(F.count(F.lit(1)), F.lit(None)).first()
     while True:
-        after, new_path = kept(star(star(now, True), False))
+        many = 2 * state[0] > common.HOT  # else no hub can have too many neighbours for a task
+        after, new_path = kept(star(star(now, True, many), False, many))
         drop_path(spark, path)
         now, path = after, new_path
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

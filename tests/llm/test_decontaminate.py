@@ -5,6 +5,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
+import pytest
 
 from glossator.llm import decontaminate as d
 
@@ -136,3 +137,14 @@ def test_empty(spark):
 def test_seeds_stay_in_their_text():
     w = d.Words(pa.array(["a b c", "d e f g h i"]), d.PUNCTUATION)
     assert [list(at) for at, _ in d.seeds(w.hashes, w.doc)] == [[3], [], [3, 4]]
+
+
+@pytest.mark.parametrize("kind", ["short", "int", "string", "decimal(20,2)", "struct<a:int>"])
+def test_any_type_of_id(spark, kind):
+    item = "some words of an item that is long enough to count here"
+    ids = "named_struct('a', id)" if kind.startswith("struct") else f"cast(id as {kind})"
+    dd = spark.createDataFrame([(1, "x " + item), (2, "clean"), (None, item)], "id int, text string").selectExpr(f"{ids} as doc_id", "text")
+    bb = spark.createDataFrame([("i", item)], "item_id string, text string")
+    got = d.leaks(dd, bb)
+    assert got.schema["doc_id"].dataType == dd.schema["doc_id"].dataType and got.count() == 2
+    assert [r.text for r in d.without_leaks(dd, bb).collect()] == ["clean"]

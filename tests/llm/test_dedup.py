@@ -9,7 +9,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from glossator.llm import dedup, graph
+from glossator.llm import common, dedup, graph
 
 
 def shingles(text):
@@ -53,29 +53,48 @@ def test_documents(spark, sf):
     assert got == want and links > 50
 
 
-@pytest.mark.parametrize("block", [dedup.BLOCK_SHINGLES, 400])
-def test_chains_and_odd_rows(spark, block):
+def several_texts():
+    """Ids with several texts, which tie otherwise unlike documents together."""
+    rng = random.Random(8)
+    text = {k: " ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(99)) for _ in range(40)) for k in "ABCDEF"}
+    return [(3, text["A"]), (4, text["B"]), (5, text["A"]), (5, text["B"]), (6, text["C"]), (7, text["C"] + " x y"), (7, text["D"]), (2, text["D"]), (8, text["E"]), (8, text["F"]), (8, None), (9, text["F"])]
+
+
+def test_ids_of_several_texts(spark):
+    rows = several_texts()
+    got = sorted(map(tuple, dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == plain(rows)[0]
+    assert {c for k, _, c, _ in got if k in (3, 4, 5)} == {3} and {c for k, _, c, _ in got if k in (2, 6, 7)} == {2}
+
+
+@pytest.mark.parametrize(("block", "hot"), [(dedup.BLOCK_SHINGLES, 1 << 20), (400, 3)])
+def test_chains_and_odd_rows(spark, block, hot, monkeypatch):
+    monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(common, "FEW", hot)
+    monkeypatch.setattr(dedup, "BLOCK_DOCS", hot + 2)
     rng = random.Random(5)
     base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
     rows = []
-    for i in range(60):  # a chain: neighbours are near, ends aren't
+    for i in range(25):  # a chain: neighbours are near, ends aren't
         w = list(base)
         for j in range(0, 2 * i, 2):
             w[(j * 7) % 150] = f"x{j}"
         rows.append((1000 - i, " ".join(w)))
     rows += [(i, " ".join(base).upper()) for i in range(40, 70)]
     rows += [(2000, None), (2001, ""), (2002, " \t"), (2003, "one two"), (2004, "ONE  two"), (2005, "two one"), (None, "one two"), (2003, "one two"), (2006, "É a b c"), (2007, "é a b c"), (3000, "long " * 30000), (3001, "long " * 20000)]
+    rows += [(k + 5000 if k else k, t) for k, t in several_texts()]
     df = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, n string")
     got = sorted(map(tuple, dedup.near_duplicates(df, block_shingles=block).collect()), key=str)
     assert got == plain(rows)[0]
     left = dedup.deduplicated(df)
     assert left.columns == df.columns
     kept = [k for k, _, _, keep in plain(rows)[0] if keep]
-    assert sorted(map(str, (r.doc_id for r in left.collect()))) == sorted(map(str, set(kept)))
+    texts = {(k, t) for k, t in rows if k in kept}
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, texts))
     assert dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), min_size=1, max_size=40))
 def test_components(spark, pairs):
     root = {}
