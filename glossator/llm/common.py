@@ -74,7 +74,7 @@ def give_back() -> None:
 
 
 def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
-    """df.mapInArrow in batches of bounded size, which the session's settings may only lower; memory is returned at a task's end."""
+    """df.mapInArrow in batches of bounded size, which the session's settings may only lower; memory is returned after each."""
     conf = df.sparkSession.conf
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
@@ -83,8 +83,14 @@ def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             conf.set(key, str(most))
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def one_by_one() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b
+                del b
+                give_back()
+
         try:
-            yield from run(batches)
+            yield from run(one_by_one())
         finally:
             give_back()
 

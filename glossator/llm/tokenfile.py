@@ -195,7 +195,7 @@ def encoded(docs: DataFrame, path: str, end: int, key: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder_of(path)
         for b in batches:
-            for p in pieces(b, 2, 2 << 20):
+            for p in pieces(b, 2, 1 << 19):
                 ids, n = enc.encode(p.column(2), end)
                 offsets = np.concatenate([[0], np.cumsum(n * 2)])
                 raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(ids.astype("<u2"))]).cast(pa.binary())
