@@ -5,12 +5,12 @@ numpy on the non-negative risk of positive-unlabelled learning:
 
     prior * E_positive[l(f)] + max(0, E_unlabelled[l(-f)] - prior * E_positive[l(-f)])
 
-with the logistic loss l and an L1 penalty. Positives are labelled toxic; the unlabelled texts are a sample of all labelled
-rows whose labels are hidden. When the bracket goes negative, its gradient is followed backwards, as usual. The class prior is
+with the logistic loss l and an L1 penalty. Positives are labelled toxic; the unlabelled texts are a sample of all documents but
+those held out, whose labels, if they have any, aren't seen. When the bracket goes negative, its gradient is followed backwards, as usual. The class prior is
 the share of toxic among all rows that may be learned from.
 
-The fit uses bounded samples of labelled rows, ``POSITIVES`` and ``UNLABELLED``, the first by a seeded hash; the prior and all
-scores cover all rows. Scoring is one pass without a shuffle.
+The fit uses bounded samples, ``POSITIVES`` and ``UNLABELLED`` rows of at most ``SAMPLE_BYTES`` of features, the first by a hash;
+the prior and all scores cover all rows. Scoring is one pass without a shuffle.
 
 Defined cases: null and empty texts get the score of a text without features; without positives every score is the prior;
 repeated rows each get a row; of repeated labels the highest counts; other columns are not read.
@@ -22,15 +22,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, crc_mod, table
+from .common import arrow, crc_mod, table, written
 from .language import _BETWEEN, _FOLD
 from .words import Words, mix64, pieces
 
-#: Rows that the classifier is fitted on, at most.
-POSITIVES, UNLABELLED = 3000, 6000
+#: Rows that the classifier is fitted on, at most, and bytes of their features.
+POSITIVES, UNLABELLED, SAMPLE_BYTES = 3000, 6000, 256 << 20
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6)
 ROUNDS, RATE, L1 = 200, 0.2, 1e-3
@@ -107,11 +107,13 @@ def train(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str) -
     none = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
     if not share:
         return none[0], -40.0
-    order = F.xxhash64("id", F.lit("positive"))
-    one = marks.where("label = 1").orderBy(order, "id").limit(POSITIVES).select("id", F.lit(True).alias("positive"))
-    two = marks.orderBy(F.xxhash64("id", F.lit("unlabelled")), "id").limit(UNLABELLED).select("id", F.lit(False).alias("positive"))
+    # confirmed ones by their labels, unlabelled ones from all documents that aren't held out, each kind the first by a hash
+    one = marks.where("label = 1").orderBy(F.xxhash64("id", F.lit("positive")), "id").limit(POSITIVES).select("id", F.lit(True).alias("positive"))
+    free = docs.where(F.col(doc).isNotNull() & ~held_out(F.col(doc))).select(F.col(doc).alias("id")).distinct()
+    two = free.orderBy(F.xxhash64("id", F.lit("unlabelled")), "id").limit(UNLABELLED).select("id", F.lit(False).alias("positive"))
     both = one.unionByName(two)  # bounded by the two parameters, so it may be broadcast
     sample = docs.select(F.col(doc).alias("_id"), F.col(text).alias("text")).join(F.broadcast(both), F.col("_id") == F.col("id"))
+    kind = docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,9 +121,13 @@ def train(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str) -
                 w = Words(p.column(0), _BETWEEN)
                 rows = word_features(w)
                 found = [np.unique(rows[w.first[i] : w.first[i + 1]]).astype("<u4").tobytes() for i in range(p.num_rows)]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), p.column(1)], names=["features", "positive"])
+                yield pa.RecordBatch.from_arrays([p.column(1), p.column(2), pa.array(found, pa.binary())], names=["id", "positive", "features"])
 
-    got = arrow(sample.select("text", "positive"), run, "features binary, positive boolean").toArrow()
+    found = arrow(sample.select("text", "id", "positive"), run, f"id {kind}, positive boolean, features binary")
+    # of several texts under an id one is taken; then what fits SAMPLE_BYTES, by hash: a few thousand rows, whatever the tables
+    found = written(found.groupBy("id", "positive").agg(F.min("features").alias("features")), "toxic-sample")
+    running = F.sum(F.length("features")).over(Window.orderBy(F.xxhash64("id", "positive"), "id", "positive").rowsBetween(Window.unboundedPreceding, 0))
+    got = found.withColumn("_bytes", running).where(F.col("_bytes") <= SAMPLE_BYTES).select("features", "positive").toArrow()
     # the order of rows is arbitrary; sums are made in one order
     rows = sorted(zip(got["features"].to_pylist(), got["positive"].to_pylist(), strict=True))
     positive = np.array([p for _, p in rows], bool)
