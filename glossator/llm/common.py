@@ -40,9 +40,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}"
 
 
+#: Paths made since the last :func:`tidy`.
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _made[-1]
+
+
+def tidy(spark: SparkSession, *keep: str) -> None:
+    """Delete what was made in the shared folder since the last time, but for some paths. For when all that reads it is done."""
+    for path in _made:
+        if path not in keep:
+            drop_path(spark, path)
+    _made.clear()
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

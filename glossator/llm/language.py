@@ -199,8 +199,9 @@ def identify(docs: DataFrame, doc: str = "doc_id", text: str = "text", lang: str
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs")
 
 
-def with_language(docs: DataFrame, least: float = 0.4, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs whose language is found, in a proportion of ``least`` at least; their columns stay as they are."""
+def with_language(docs: DataFrame, least: float = 0.0, doc: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """docs in which any learned language is found; their columns stay as they are. Texts that are null or have no letter go,
+    and so does, if ``least`` is given, what has no language of such a proportion; mixed documents stay otherwise."""
     langs, model = learn(docs.where(~held_out(F.col(doc))), text, lang)
     whole = docs.select(F.struct("*").alias("_doc"), F.col(text).alias("_body"))
     out = predict(whole, langs, model, ["_doc"], "_body").where((F.col("lang_pred") != "und") & (F.col("score") >= least))

@@ -350,9 +350,9 @@ def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     return arrow(files, run, "key long, start long, n_tokens long, ids binary")
 
 
-def token_output(docs: DataFrame, path: str, end: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
+def token_output(docs: DataFrame, path: str, end: int = 2, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """Write docs' ids to a new folder, read it back: doc_id, start, n_tokens, ids_crc32."""
-    folder = scratch(docs.sparkSession, "tokens")
+    folder = folder or scratch(docs.sparkSession, "tokens")
     manifest = write_tokens(docs, folder, path, end, key, text)
     back = read_tokens(manifest, folder)
     return back.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

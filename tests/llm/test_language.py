@@ -35,6 +35,11 @@ def test_mixture_and_odd_rows(spark, sf):
     assert got[3] == got[4] and got[5].lang_pred == "fr" and got[7].lang_pred == "es"
     assert got[6].lang_pred in langs
     unlearned = odd.withColumn("lang", F.lit(None).cast("string"))
+    labelled = docs.select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", F.lit(None).cast("string").alias("lang")))
+    thirds = " ".join(w for g in ("en", "de", "fr") for w in by[g].split()[:200])
+    more = labelled.unionByName(spark.createDataFrame([(9000, thirds, None)], labelled.schema))
+    kept = {r.doc_id for r in language.with_language(more.where("doc_id >= 9000 or lang is not null or text is null or length(text) < 20")).where("lang is null").select("doc_id").collect()}
+    assert kept == {9000, 6}  # three languages in equal parts are no reason to go; texts without a letter are
     assert {r.lang_pred for r in language.identify(unlearned).collect()} == {"und"}
     assert language.identify(unlearned.limit(0)).count() == 0
     assert language.with_language(unlearned).columns == unlearned.columns
