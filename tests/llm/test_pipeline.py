@@ -53,3 +53,21 @@ def test_stages(spark, tmp_path):
     ids = [(k, t.encode(x or "", add_special_tokens=False).ids + [2]) for k, x, _ in mixed]
     crc = [(k, len(i), zlib.crc32(np.array(i, "<u4").tobytes())) for k, i in ids]
     assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in docs.collect()) == sorted(crc)
+
+
+def test_odd_tables(spark, tmp_path):
+    """Nulls in every column, texts without letters, repeated rows, then no rows at all."""
+    text = "plain words of a language that is learned from these very rows here "
+    rows = [(i, text + f"and number {i} tells it from others " * 3, "en", "s", 9) for i in range(12)]
+    rows += [(None, None, None, None, None), (None, text + "without an id", "en", None, 1), (3, rows[3][1], "en", "s", 9), (50, "", "en", "t", 0), (51, "12 34", None, "t", 5), (52, text, None, None, None)]
+    for name, n in (("some", None), ("none", 0)):
+        d = tmp_path / name
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        (docs if n is None else docs.limit(0)).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(1, "unlike anything of the words in there, one by one, at all times")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, str(d)).collect()
+        if n == 0:
+            assert got == []
+        else:
+            assert {r.doc_id for r in got} <= {*range(12), None, 52} and len(got) >= 5
+            assert sorted(r.start for r in got) == np.cumsum([0] + [r.n_tokens for r in sorted(got, key=lambda r: r.start)])[:-1].tolist()
