@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import regex
@@ -24,7 +25,8 @@ _DROPPED = regex.compile(r"[\p{Cc}\p{Cf}]")
 _BLANK = regex.compile(r"[\s﻿]")
 _EMOJI = regex.compile(r"\p{Extended_Pictographic}")
 _MARKS = regex.compile(r"[\p{P}\p{S}|]+")
-_END = regex.compile(r"[.!?;:…»”)\]]$")
+#: Characters that end a sentence.
+ENDS = frozenset(".!?;:…»”)]")
 #: Pieces of a passage's end that are too few to stand alone, and the share of the limit before which no sentence end cuts.
 LEAST, CUT = 12, 0.6
 
@@ -108,7 +110,7 @@ def chunk_pages(pages: list[str], count: Callable[[str], int], most: int = 126)
     for n, page in enumerate(pages):
         starts.append(at)
         at += len(page) + 1
-        words += [(n, s, e, count(w), _END.search(page[s:e]) is not None) for w, s, e in split_words(page)]
+        words += [(n, s, e, count(w), page[e - 1] in ENDS) for w, s, e in split_words(page)]
     least_cut = int(CUT * most)
     cuts, begin, total, ended, ended_total = [], 0, 0, -1, 0
     for i, (_, _, _, n, end) in enumerate(words):
@@ -126,18 +128,19 @@ def chunk_pages(pages: list[str], count: Callable[[str], int], most: int = 126)
         else:
             cuts.append((begin, len(words)))
     out = []
+    units = [_utf16(p) for p in pages]
+    ahead = list(accumulate((n + 1 for n in units), initial=0))
     for a, z in cuts:
         parts: dict[int, list[int]] = {}
         for n, s, e, *_ in words[a:z]:
             parts.setdefault(n, [s, e])[1] = e
         page, start = words[a][0], words[a][1]
-        before = sum(map(_utf16, pages[:page])) + page
         out.append(
             {
                 "text": " ".join(pages[n][s:e] for n, (s, e) in parts.items()),
                 "page": page,
                 "char_start": starts[page] + start,
-                "char_start_utf16": before + _utf16(pages[page][:start]),
+                "char_start_utf16": ahead[page] + (start if units[page] == len(pages[page]) else _utf16(pages[page][:start])),
                 "pieces": sum(w[3] for w in words[a:z]),
             }
         )
@@ -145,7 +148,8 @@ def chunk_pages(pages: list[str], count: Callable[[str], int], most: int = 126)
 
 
 def _utf16(text: str) -> int:
-    return len(text) + sum(c > "￿" for c in text)
+    """Units of 16 bits."""
+    return len(text) if text.isascii() else len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
 def plain_count(word: str) -> int:
