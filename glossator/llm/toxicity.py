@@ -5,8 +5,9 @@ numpy on the non-negative risk of positive-unlabelled learning:
 
     prior * E_positive[l(f)] + max(0, E_unlabelled[l(-f)] - prior * E_positive[l(-f)])
 
-with the logistic loss l and an L1 penalty. Positives are labelled toxic; the unlabelled texts are a sample of all documents but
-those held out, whose labels, if they have any, aren't seen. When the bracket goes negative, its gradient is followed backwards, as usual. The class prior is
+with the logistic loss l and an L1 penalty. Positives are labelled toxic; the unlabelled texts are a sample of all labelled
+rows whose labels are hidden, positives among them, so that both come from one population (texts from all documents gave worse
+results). When the bracket goes negative, its gradient is followed backwards, as usual. The class prior is
 the share of toxic among all rows that may be learned from.
 
 The fit uses bounded samples, ``POSITIVES`` and ``UNLABELLED`` rows of at most ``SAMPLE_BYTES`` of features, the first by a hash;
@@ -107,10 +108,9 @@ def train(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str) -
     none = np.zeros(BUCKETS), float(np.log(prior / (1 - prior)))
     if not share:
         return none[0], -40.0
-    # confirmed ones by their labels, unlabelled ones from all documents that aren't held out, each kind the first by a hash
+    # each kind the first by a hash
     one = marks.where("label = 1").orderBy(F.xxhash64("id", F.lit("positive")), "id").limit(POSITIVES).select("id", F.lit(True).alias("positive"))
-    free = docs.where(F.col(doc).isNotNull() & ~held_out(F.col(doc))).select(F.col(doc).alias("id")).distinct()
-    two = free.orderBy(F.xxhash64("id", F.lit("unlabelled")), "id").limit(UNLABELLED).select("id", F.lit(False).alias("positive"))
+    two = marks.orderBy(F.xxhash64("id", F.lit("unlabelled")), "id").limit(UNLABELLED).select("id", F.lit(False).alias("positive"))
     both = one.unionByName(two)  # bounded by the two parameters, so it may be broadcast
     sample = docs.select(F.col(doc).alias("_id"), F.col(text).alias("text")).join(F.broadcast(both), F.col("_id") == F.col("id"))
     kind = docs.schema[doc].dataType.simpleString()
