@@ -294,11 +294,11 @@ def status_carry_section(spark, sf):
 
 
 @query("""with o as (select source, doc_id % 50 as page, arg_min(case when toxic = 1 then 1 else 2 end, struct_pack(a := case when toxic = 1 then 0 else 1 end, b := doc_id)) as status
-    from documents join labels using (doc_id) where quality = 1 group by all)
+    from documents join labels using (doc_id) group by all)
     select d.doc_id, o.status from documents d left join o on d.source = o.source and d.doc_id % 50 = o.page""")
 def status_carry_page(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.col("source").alias("folder_id"), (F.col("doc_id") % 50).alias("page"))
-    old = d.join(table(spark, sf, "labels").where("quality = 1"), "doc_id").select("folder_id", "page", F.when(F.col("toxic") == 1, 1).otherwise(2).alias("status"), F.col("doc_id").alias("rank"))
+    old = d.join(table(spark, sf, "labels"), "doc_id").select("folder_id", "page", F.when(F.col("toxic") == 1, 1).otherwise(2).alias("status"), F.col("doc_id").alias("rank"))
     return store.carried_by_page(d, old).select("doc_id", "status")
 
 
@@ -340,11 +340,11 @@ def added_since_coalesce(spark, sf):
     return got.join(parents.select(F.col("item_id").alias("c_custkey")), F.col("parent_id") == F.col("c_custkey"), "left").select("o_orderkey", "c_custkey")
 
 
-@query("""with t as (select doc_id, unnest(string_split_regex(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) as token from documents where lang = 'de'),
+@query("""with t as (select doc_id, unnest(string_split_regex(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' ')) as token from documents),
     k as (select distinct doc_id, token from t where length(token) >= 14)
     select distinct a.doc_id as new_id, b.doc_id as item_id from k a join k b using (token) where a.doc_id < b.doc_id""")
 def identifier_overlap_join(spark, sf):
-    d = table(spark, sf, "documents").where("lang = 'de'")
+    d = table(spark, sf, "documents")
     found = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda x: F.length(x) >= 14)
     k = d.select("doc_id", F.explode(found).alias("token")).distinct()
     return k.select(F.col("doc_id").alias("new_id"), "token").join(k.select(F.col("doc_id").alias("item_id"), "token"), "token").where("new_id < item_id").select("new_id", "item_id").distinct()
@@ -396,12 +396,12 @@ def replace_documents(spark, sf):
     return store.replace_documents(old, new).select("id", "rowid", "fresh")
 
 
-@query("""select key, max(value) as value from (select 'k' || (l_orderkey % 97) as key, cast(l_partkey as varchar) as value from lineitem where l_linenumber = 1
+@query("""select key, max(value) as value from (select 'k' || (l_orderkey % 97) as key, cast(l_partkey as varchar) as value from lineitem
     qualify row_number() over (partition by l_orderkey % 97 order by l_orderkey, l_partkey) = 1) where key not in (select 'k' || n_nationkey from nation) group by key
     union all select 'k' || n_nationkey, n_name from nation""")
 def meta_upsert(spark, sf):
     w = Window.partitionBy(F.col("l_orderkey") % 97).orderBy("l_orderkey", "l_partkey")
-    old = table(spark, sf, "lineitem").where("l_linenumber = 1").withColumn("n", F.row_number().over(w)).where("n = 1")
+    old = table(spark, sf, "lineitem").withColumn("n", F.row_number().over(w)).where("n = 1")
     old = old.select(F.concat(F.lit("k"), (F.col("l_orderkey") % 97).cast("string")).alias("key"), F.col("l_partkey").cast("string").alias("value"))
     new = table(spark, sf, "nation").select(F.concat(F.lit("k"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("value"))
     return store.upsert(old, new, ["key"])
