@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow, crc_mod, table, written
+from .common import arrow, crc_mod, give_back, table, written
 from .language import _BETWEEN, _FOLD
 from .words import Words, mix64, pieces
 
@@ -130,6 +130,8 @@ def train(docs: DataFrame, labels: DataFrame, doc: str, text: str, label: str) -
     got = found.withColumn("_bytes", running).where(F.col("_bytes") <= SAMPLE_BYTES).select("features", "positive").toArrow()
     # the order of rows is arbitrary; sums are made in one order
     rows = sorted(zip(got["features"].to_pylist(), got["positive"].to_pylist(), strict=True))
+    del got  # else the driver holds the sample twice while it fits
+    give_back()
     positive = np.array([p for _, p in rows], bool)
     if not positive.any() or positive.all():
         return none
