@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs, registered, texts, tokenizers, vectors
 from ..functions.words import chunks
-from ..operators import control, duplicates, ingest, items, search, searching, store
+from ..operators import control, duplicates, ingest, items, overlap, search, searching, store
 from ..sources.files import html_pages
 from ..streaming import changes
 
@@ -346,8 +346,8 @@ def added_since_coalesce(spark, sf):
 def identifier_overlap_join(spark, sf):
     d = table(spark, sf, "documents")
     found = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda x: F.length(x) >= 14)
-    k = d.select("doc_id", F.explode(found).alias("token")).distinct()
-    return k.select(F.col("doc_id").alias("new_id"), "token").join(k.select(F.col("doc_id").alias("item_id"), "token"), "token").where("new_id < item_id").select("new_id", "item_id").distinct()
+    k = d.select(F.col("doc_id").alias("id"), F.explode(found).alias("token"))
+    return overlap.sharing(k).select(F.col("a").alias("new_id"), F.col("b").alias("item_id"))
 
 
 @query("""select o_orderkey as id, floor(o_totalprice * 1e4 / 1e6 + 0.5) / 1e4 as score, o_custkey + 1 as page_number, strftime(o_orderdate, '%Y-%m-%d') as day,
