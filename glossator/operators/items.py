@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import identifier, isbns
+from .overlap import sharing
 
 
 def described(attachments: DataFrame, items: DataFrame) -> DataFrame:
@@ -81,8 +82,8 @@ def identifiers(items: DataFrame) -> DataFrame:
 
 def same_identifier(new: DataFrame, items: DataFrame) -> DataFrame:
     """(new_id, item_id): items that share any identifier with a new one."""
-    a = identifiers(new).withColumnRenamed("item_id", "new_id")
-    return a.join(identifiers(items), "token").select("new_id", "item_id").distinct()
+    a, b = (identifiers(x).withColumnRenamed("item_id", "id") for x in (new, items))
+    return sharing(a, b).select(F.col("a").alias("new_id"), F.col("b").alias("item_id"))
 
 
 def best_attachment(attachments: DataFrame) -> DataFrame:
