@@ -1,12 +1,14 @@
 """Texts, words, passages, codecs and files on their own."""
 
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glossator.functions import codecs, texts, vectors
+from glossator.functions import codecs, texts, vectors, words
 from glossator.functions.encoders import HashingEncoder, batches_of, embed, query_segments
 from glossator.functions.words import chunk_pages, chunks, plain_count, split_by_character, split_words
 from glossator.models import MODELS, clamp, positive
@@ -140,3 +142,21 @@ def test_files(spark, tmp_path):
 def test_settings():
     assert clamp(500, 1, 100, 10) == 100 and clamp(None, 1, 100, 10) == 10 and clamp(float("nan"), 0, 5, 1) == 1
     assert positive(-1, 5) == 5 and positive(2, 5) == 2 and MODELS["e5-small"].dim == 384
+
+
+def test_spans_are_the_words():
+    """Words found by arrays of code points are those of the plain loop, and passages those of words counted one by one."""
+    r = random.Random(3)
+    letters = "abcXYZéß .,;!?)]… \t\n﻿​\x00\x1cЖдعअกABC中文漢ひカ한글🚀👍©019-—|$+‍\U00010330ªⅧ́"
+    for n in [0, 1, 2, 5, 40, 200] * 60:
+        text = "".join(r.choice(letters if r.random() < 0.5 else "ab .") for _ in range(n))
+        start, end, length = (x.tolist() for x in words.word_spans(words._codes(text)))
+        want = split_by_character(text)
+        assert list(zip(start, end, length)) == [(s, e, len(w)) for w, s, e in want]
+        by_count = lambda w: plain_count(w)  # noqa: E731  # another function, so words are split and counted one by one
+        assert chunk_pages([text, "", text[:3]], plain_count, 5) == chunk_pages([text, "", text[:3]], by_count, 5)
+
+
+def test_words_are_not_made_one_by_one(monkeypatch):
+    monkeypatch.setattr(words, "split_words", None)
+    assert len(chunk_pages([SENTENCE * 1000], plain_count, 126)) > 50
