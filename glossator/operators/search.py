@@ -56,9 +56,24 @@ def _norms(x: np.ndarray) -> np.ndarray:
     return np.where(n, n, 1)
 
 
+def _bound(near: np.ndarray, k: int) -> np.ndarray:
+    """For each column a value that k or more rows reach: the k-th of the largest in groups of rows."""
+    groups = min(len(near), max(64, 4 * k))
+    most = np.fmax.reduce(near[: len(near) // groups * groups].reshape(groups, -1, near.shape[1]), axis=1)
+    return np.partition(np.where(np.isnan(most), -np.inf, most), -k, axis=0)[-k]
+
+
+def _ranked(whose: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of each one's k best, ties to the smaller id; and of each k-th."""
+    order = np.lexsort((ids, -score, whose))
+    start = np.flatnonzero(np.diff(whose[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
+    return order[rank < k], order[rank == k - 1]
+
+
 def scored(passages: DataFrame, queries: DataFrame, least: float | None = None, best: int | None = None) -> DataFrame:
     """passages (without their vectors) x queries with similarity, the exact cosine; of least or more, and only each query's
-    best in every batch of passages, if wanted. Passages with a vector of another length than the queries' take no part.
+    best in every task's passages, if wanted. Passages with a vector of another length than the queries' take no part.
 
     Matrix products over Arrow batches find the pairs; what is left is summed in order, so equal vectors score alike. Queries
     come in blocks, each sent to the executors once.
@@ -67,26 +82,37 @@ def scored(passages: DataFrame, queries: DataFrame, least: float | None = None,
     kinds = {c: queries.schema[c].dataType for c in ("qid", "segment")}
     schema = StructType([passages.schema[c] for c in names] + [queries.schema["qid"], queries.schema["segment"]]).add("similarity", "double")
     at_row = names.index("rowid") if best else -1
+    inner = [*(f"_{n}" for n in range(len(names))), "_j", "_exact"]
 
     def of(block: list[Row]) -> DataFrame:
         vectors = _matrix([r.vec for r in block])
         asked = [pa.array([r[c] for r in block], to_arrow_type(kinds[c])) for c in kinds]
         sent = passages.sparkSession.sparkContext.broadcast((vectors, vectors / _norms(vectors)[:, None]))
 
+        def asking(found: pa.Table) -> Iterator[pa.RecordBatch]:
+            whose = found["_j"]
+            columns = [*(found.column(c) for c in range(len(names))), *(pa.chunked_array([x]).take(whose) for x in asked), found["_exact"]]
+            yield from pa.Table.from_arrays(columns, schema=to_arrow_schema(schema)).combine_chunks().to_batches()
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             q, q_unit = sent.value
+            held: list[pa.Table] = []
+            # single precision finds the pairs, so its error is allowed for as well
+            q_unit, slack = q_unit.astype(np.float32), SLACK + (q.shape[1] + 8) * 2.0**-23
+            floor, kept = np.full(len(q), -np.inf), None
             for b in batches:
                 if not b.num_rows:
                     continue
                 v = b.column(len(names)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 norm = _norms(v)
+                v_unit = (v / norm[:, None]).astype(np.float32)
                 step = max(1, PAIRS // b.num_rows)
                 for k in range(0, len(q), step):
-                    near = (v / norm[:, None]) @ q_unit[k : k + step].T
-                    fine = np.ones(near.shape, bool) if least is None else near >= least - SLACK
+                    near = v_unit @ q_unit[k : k + step].T
+                    enough = np.full(near.shape[1], -np.inf if least is None else least)
                     if best and b.num_rows > best:
-                        fine &= near >= np.partition(near, -best, axis=0)[-best] - SLACK
-                    i, j = np.nonzero(fine)
+                        enough = np.fmax(enough, np.fmax(_bound(near, best), floor[k : k + step]))
+                    i, j = np.divmod(np.flatnonzero(~(near < (enough - slack).astype(np.float32))), near.shape[1])
                     exact = np.empty(len(i))
                     for n in range(0, len(i), 1 << 14):
                         x, y = v[i[n : n + (1 << 14)]], q[k + j[n : n + (1 << 14)]]
@@ -94,16 +120,27 @@ def scored(passages: DataFrame, queries: DataFrame, least: float | None = None,
                     keep = np.ones(len(i), bool) if least is None else exact >= least
                     i, j, exact = i[keep], k + j[keep], exact[keep]
                     if best:
-                        ids = b.column(at_row).to_numpy(zero_copy_only=False)[i]
-                        order = np.lexsort((ids, -exact, j))
-                        start = np.concatenate([[0], np.flatnonzero(np.diff(j[order])) + 1])
-                        rank = np.arange(len(order)) - np.repeat(start, np.diff(np.concatenate([start, [len(order)]]))) if len(order) else order
-                        order = order[rank < best]
+                        order, _ = _ranked(j, exact, b.column(at_row).to_numpy(zero_copy_only=False)[i], best)
                         i, j, exact = i[order], j[order], exact[order]
-                    rows, whose = pa.array(i), pa.array(j)
-                    yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in range(len(names))), *(x.take(whose) for x in asked), pa.array(exact)], schema=to_arrow_schema(schema))
-
-        return usable(passages, vectors.shape[1]).select(*names, "embedding").mapInArrow(run, schema)
+                    found = pa.Table.from_arrays([*(b.column(c).take(pa.array(i)) for c in range(len(names))), pa.array(j), pa.array(exact)], names=inner)
+                    if best:
+                        held.append(found)
+                    else:
+                        yield from asking(found)
+                if best:
+                    kept = pa.concat_tables(held if kept is None else [kept, *held]).combine_chunks()
+                    held = []
+                    j, exact = kept["_j"].to_numpy(), kept["_exact"].to_numpy()
+                    order, full = _ranked(j, exact, kept.column(at_row).to_numpy(), best)
+                    floor[j[full]] = exact[full]
+                    kept = kept.take(pa.array(order))
+            if kept is not None:
+                yield from asking(kept)
+
+        good = usable(passages, vectors.shape[1]).select(*names, "embedding")
+        if best:  # a table of few bytes, read by few tasks, may be much work
+            good = good.repartition(passages.sparkSession.sparkContext.defaultParallelism, "rowid")
+        return good.mapInArrow(run, schema)
 
     out = [of(b) for b in blocks(queries, ["qid", "segment", "vec"])]
     return reduce(DataFrame.unionByName, out) if out else passages.sparkSession.createDataFrame([], schema)

@@ -251,3 +251,26 @@ def test_pending_work(spark, tmp_path):
     q = changes.pending(stream).writeStream.outputMode("append").format("memory").queryName("pending_out").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.key, r.outcome) for r in spark.table("pending_out").collect()} == {("a", "done"), ("b", "expired")}
+
+
+def test_best_of_a_task(spark):
+    """Each query's best over all batches of a task leave it, not those of every batch; and the scan needs no full partition."""
+    r = np.random.default_rng(5)
+    x = r.standard_normal((700, 8)).astype(np.float32)
+    x[300:340] = x[:40]  # ties
+    p = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "rowid long, embedding array<float>")
+    q = p.where("rowid < 350").selectExpr("rowid as qid", "0 as segment", "cast(embedding as array<double>) as vec")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        rows = search.scored(p, q, best=3)
+        assert rows.count() <= 350 * 3 * spark.sparkContext.defaultParallelism
+        got = {(w.qid, w["rank"]): (w.rowid, w.similarity) for w in search.top(rows, 3, ["qid"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    d = x.astype(np.float64)
+    n = np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
+    for i in range(350):
+        s = np.cumsum(d * d[i], axis=1)[:, -1] / (n * n[i])
+        best = np.lexsort((np.arange(700), -s))[:3]
+        assert [got[i, k + 1] for k in range(3)] == [(int(b), float(s[b])) for b in best]
